@@ -14,6 +14,7 @@ from tidepath.operators.overview import path_totals
 # Amounts are split at 2**20 cents to find a quantile: a group to sort then has
 # at most 1,048,576 distinct amounts, whatever the number of transfers.
 BUCKET_BITS = 20
+NULL_BUCKET = -(2**63)
 
 
 def net_flow(moves: DataFrame) -> DataFrame:
@@ -118,10 +119,12 @@ def amount_quantiles(
             )
         )
     cents = (F.col("amount") * 100).cast("bigint")
+    # Null amounts get a range of their own, so that both uses of this frame
+    # need the same rows and Spark computes it once.
     amounts = (
         moves.groupBy("src", cents.alias("cents"))
         .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("bucket", F.shiftright("cents", BUCKET_BITS))
+        .withColumn("bucket", F.coalesce(F.shiftright("cents", BUCKET_BITS), F.lit(NULL_BUCKET)))
     )
     hits = _ranges_with_ranks(amounts, probs)
     return _pick_ranks(amounts, hits, probs)
@@ -132,19 +135,22 @@ def _rank_position(prob: float, total: Column) -> Column:
 
 
 def _ranges_with_ranks(amounts: DataFrame, probs: Sequence[float]) -> DataFrame:
-    """For each source, the ranges that hold a wanted rank (counted from 0)."""
+    """For each source, the ranges that hold a wanted rank (counted from 0).
+
+    The range of null amounts counts 0 rows and is kept, so that a source with
+    nothing else keeps its row in the result.
+    """
     source = Window.partitionBy("src")
-    so_far = source.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = source.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranges = (
-        amounts.where(F.col("cents").isNotNull())
-        .groupBy("src", "bucket")
-        .agg(F.sum("n").alias("n"))
+        amounts.groupBy("src", "bucket")
+        .agg(F.sum(F.when(F.col("cents").isNull(), 0).otherwise(F.col("n"))).alias("held"))
         .select(
             "src",
             "bucket",
-            "n",
-            F.coalesce(F.sum("n").over(so_far), F.lit(0)).alias("before"),
-            F.sum("n").over(source).alias("total"),
+            "held",
+            (F.sum("held").over(so_far) - F.col("held")).alias("before"),
+            F.sum("held").over(source).alias("total"),
         )
     )
     wanted = F.array_distinct(
@@ -158,13 +164,18 @@ def _ranges_with_ranks(amounts: DataFrame, probs: Sequence[float]) -> DataFrame:
     )
     inside = F.filter(
         wanted,
-        lambda rank: (rank >= F.col("before")) & (rank < F.col("before") + F.col("n")),
+        lambda rank: (rank >= F.col("before")) & (rank < F.col("before") + F.col("held")),
     )
     return (
         ranges.withColumn("ranks", inside)
-        .where(F.size("ranks") > 0)
-        .select(F.col("src").alias("hit_src"), F.col("bucket").alias("hit_bucket"),
-                "before", "total", "ranks")
+        .where((F.size("ranks") > 0) | (F.col("bucket") == NULL_BUCKET))
+        .select(
+            F.col("src").alias("hit_src"),
+            F.col("bucket").alias("hit_bucket"),
+            "before",
+            "total",
+            "ranks",
+        )
     )
 
 
@@ -186,18 +197,11 @@ def _pick_ranks(amounts: DataFrame, hits: DataFrame, probs: Sequence[float]) ->
             "src",
             "total",
             (F.col("cents").cast("double") / 100).alias("amount"),
-            F.explode(
+            F.explode_outer(
                 F.filter("ranks", lambda rank: (rank < upto) & (rank >= upto - F.col("n")))
             ).alias("rank"),
         )
     )
-    # A source with nothing but null amounts keeps its row, with null quantiles.
-    empty = amounts.where(F.col("cents").isNull()).select(
-        "src",
-        F.lit(None).cast("bigint").alias("total"),
-        F.lit(None).cast("double").alias("amount"),
-        F.lit(None).cast("bigint").alias("rank"),
-    )
 
     def quantile(prob: float) -> Column:
         position = _rank_position(prob, F.col("total"))
@@ -206,4 +210,4 @@ def _pick_ranks(amounts: DataFrame, hits: DataFrame, probs: Sequence[float]) ->
         part = F.max(position - F.floor(position))
         return F.round(low + (high - low) * part, 4).alias(quantile_name(prob))
 
-    return picked.unionByName(empty).groupBy("src").agg(*(quantile(prob) for prob in probs))
+    return picked.groupBy("src").agg(*(quantile(prob) for prob in probs))

@@ -27,27 +27,22 @@ TRANSFER_COLUMNS = (
 def transfers(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Every lineitem whose supplier and customer sit in different nations.
 
-    The two lookup chains are joined first, so lineitem, by far the largest
-    input, meets two narrow inputs only: it is shuffled at most twice, however
-    many lookups hang behind them. No join is hinted. Spark broadcasts a side
-    when its size is under `spark.sql.autoBroadcastJoinThreshold` and sort-merges
-    it otherwise, and adaptive execution splits skewed keys of the merged sides.
+    Orders meet their customers first, so lineitem, by far the largest input, is
+    shuffled for that result and at most once more, for suppliers. That large
+    join is a sort-merge join at any size: both sides grow with the data, and
+    adaptive execution splits an order or party that holds much of it. The other
+    joins are left to Spark, which broadcasts a table only when its files are
+    smaller than `spark.sql.autoBroadcastJoinThreshold`. Rows carry nation keys
+    until the end, where the names are looked up.
     """
     nation = tables["nation"]
-    origins = (
-        tables["supplier"]
-        .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
-        .select("s_suppkey", "s_nationkey", F.col("n_name").alias("src"))
-    )
-    targets = (
-        tables["customer"]
-        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-        .select("c_custkey", "c_nationkey", F.col("n_name").alias("dst"))
-    )
+    senders = nation.select(F.col("n_nationkey").alias("src_key"), F.col("n_name").alias("src"))
+    receivers = nation.select(F.col("n_nationkey").alias("dst_key"), F.col("n_name").alias("dst"))
     sendings = (
         tables["orders"]
-        .join(targets, F.col("o_custkey") == F.col("c_custkey"))
-        .select("o_orderkey", "o_orderdate", "o_custkey", "o_orderstatus", "c_nationkey", "dst")
+        .join(tables["customer"], F.col("o_custkey") == F.col("c_custkey"))
+        .select("o_orderkey", "o_orderdate", "o_custkey", "o_orderstatus", "c_nationkey")
+        .hint("merge")
     )
     lines = tables["lineitem"].select(
         "l_orderkey",
@@ -58,8 +53,10 @@ def transfers(tables: Mapping[str, DataFrame]) -> DataFrame:
     )
     return (
         lines.join(sendings, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(origins, F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(tables["supplier"], F.col("l_suppkey") == F.col("s_suppkey"))
         .where(F.col("s_nationkey") != F.col("c_nationkey"))
+        .join(senders, F.col("s_nationkey") == F.col("src_key"))
+        .join(receivers, F.col("c_nationkey") == F.col("dst_key"))
         .select(
             F.struct(
                 F.col("l_orderkey").alias("order"), F.col("l_linenumber").alias("line")
