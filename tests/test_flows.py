@@ -1,0 +1,147 @@
+import random
+from decimal import Decimal
+
+import numpy as np
+import pytest
+from conftest import rows_of
+
+from tidepath.operators import (
+    amount_quantiles,
+    net_flow,
+    path_matrix,
+    region_subtotals,
+    size_bands,
+)
+from tidepath.operators.flows import quantile_name
+from tidepath.sources.tables import SCHEMAS
+
+
+@pytest.fixture
+def one_way(moves):
+    return moves(
+        ("2000-01-01", 1, "out", "in", "5"),
+        ("2000-01-01", 1, "out", "both", "7"),
+        ("2000-01-01", 1, "both", "in", "1"),
+    )
+
+
+def test_net_flow(one_way):
+    assert rows_of(net_flow(one_way)) == [
+        ("both", 1.0, 7.0, 6.0),
+        ("in", 0.0, 6.0, 6.0),
+        ("out", 12.0, 0.0, -12.0),
+    ]
+
+
+def test_matrix(one_way):
+    found = path_matrix(one_way, ["both", "in", "out"])
+    assert found.columns == ["src", "both", "in", "out"]
+    assert rows_of(found) == [("both", 0, 1, 0), ("out", 1, 1, 0)]
+
+
+def test_matrix_with_odd_names(moves):
+    found = path_matrix(moves(("2000-01-01", 1, "a.b", "c d", "1")), ["a.b", "c d"])
+    assert rows_of(found) == [("a.b", 0, 1)]
+
+
+def test_region_subtotals(spark, moves):
+    nation = spark.createDataFrame([(1, "a", 1), (2, "b", 1), (3, "c", 2)], SCHEMAS["nation"])
+    region = spark.createDataFrame([(1, "R1"), (2, "R2")], SCHEMAS["region"])
+    found = moves(
+        ("2000-01-01", 1, "a", "b", "1"),
+        ("2000-01-01", 1, "a", "c", "2"),
+        ("2000-01-01", 1, "b", "c", "4"),
+        ("2000-01-01", 1, "c", "a", "8"),
+    )
+    assert rows_of(region_subtotals(found, nation, region)) == [
+        ("R1", "a", 2, 3.0),
+        ("R1", "b", 1, 4.0),
+        ("R1", None, 3, 7.0),
+        ("R2", "c", 1, 8.0),
+        ("R2", None, 1, 8.0),
+        (None, None, 4, 15.0),
+    ]
+
+
+def test_band_edges(moves):
+    amounts = ("9.99", "10", "19.99", "20", "1000", None)
+    found = moves(*(("2000-01-01", 1, "a", "b", amount) for amount in amounts))
+    assert rows_of(size_bands(found, ("10", "20"))) == [
+        ("large", 2, 1020.0),
+        ("middle", 2, 29.99),
+        ("small", 1, 9.99),
+        (None, 1, None),
+    ]
+    with pytest.raises(ValueError):
+        size_bands(found, ("20", "10"))
+    with pytest.raises(ValueError):
+        size_bands(found, ("10",))
+
+
+def test_quantile_names():
+    assert [quantile_name(prob) for prob in (0.5, 0.95, 0.999, 0, 1)] == [
+        "p50", "p95", "p99_9", "p0", "p100",
+    ]
+
+
+def check_quantiles(moves, amounts_of, probs):
+    rows = [
+        ("2000-01-01", 1, src, "z", amount)
+        for src, amounts in amounts_of.items()
+        for amount in amounts
+    ]
+    random.Random(1).shuffle(rows)
+    found = {row.src: tuple(row)[1:] for row in amount_quantiles(moves(*rows), probs).collect()}
+    assert set(found) == set(amounts_of)
+    for src, amounts in amounts_of.items():
+        known = [float(amount) for amount in amounts if amount is not None]
+        if not known:
+            assert found[src] == (None,) * len(probs)
+            continue
+        assert found[src] == pytest.approx(np.quantile(known, probs), abs=1e-4, rel=1e-12)
+
+
+def test_quantiles_against_numpy(moves):
+    rng = random.Random(7)
+    cents = lambda low, high, n: [
+        str(Decimal(rng.randint(low, high)) / 100) for _ in range(n)
+    ]
+    check_quantiles(
+        moves,
+        {
+            "one": ["3.33"],
+            "two": ["1.00", "2.01"],
+            "same": ["5.00"] * 50,
+            "hot": ["7.77"] * 900 + cents(0, 10**7, 100),
+            "wide": cents(-(10**9), 10**9, 400),
+            "huge": cents(0, 10**15, 200) + [None] * 30,
+            "signs": ["-0.01", "0.00", "0.01", None],
+            "empty": [None, None],
+            None: cents(0, 10**8, 101),
+        },
+        (0.0, 0.25, 0.5, 0.95, 1.0),
+    )
+
+
+def test_quantiles_next_to_a_range_border(moves):
+    border = 2**20
+    check_quantiles(
+        moves,
+        {"b": [str(Decimal(border + step) / 100) for step in (-2, -1, 0, 1)]},
+        (0.5, 0.9),
+    )
+
+
+def test_quantile_arguments(moves):
+    with pytest.raises(ValueError):
+        amount_quantiles(moves(), ())
+    with pytest.raises(ValueError):
+        amount_quantiles(moves(), (1.5,))
+    assert rows_of(amount_quantiles(moves())) == []
+
+
+def test_approximate_quantiles(moves):
+    found = moves(*(("2000-01-01", 1, "a", "b", str(number)) for number in range(1, 1001)))
+    row = amount_quantiles(found, (0.5, 0.95), accuracy=1000).first()
+    assert row.p50 == pytest.approx(500, abs=2)
+    assert row.p95 == pytest.approx(950, abs=2)

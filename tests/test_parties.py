@@ -1,0 +1,146 @@
+from datetime import datetime
+
+import pytest
+from conftest import SMALL, plan_of, rows_of
+
+from tidepath.operators import (
+    approx_parties,
+    cohort_retention,
+    latest_per_key,
+    new_and_returning,
+    party_breadth,
+    status_by_month,
+    top_parties,
+    weekday_hour,
+)
+from tidepath.plans.views import load_transfers
+from tidepath.sources import read_tables
+from tidepath.sources.tables import SCHEMAS
+
+
+def test_top_parties_break_ties_by_party(moves):
+    found = moves(
+        ("2000-01-01", 9, "a", "b", "5"),
+        ("2000-01-01", 3, "a", "b", "5"),
+        ("2000-01-01", 4, "a", "b", "2"),
+        ("2000-01-02", 4, "a", "b", "9"),
+        ("2000-01-01", 5, "a", "b", "1"),
+        ("2000-01-01", 6, "a", "b", None),
+    )
+    assert [tuple(row)[::2] for row in top_parties(found, 3).collect()] == [(4, 2), (3, 1), (9, 1)]
+    assert len(top_parties(found, 50).collect()) == 5
+
+
+def test_breadth(moves):
+    found = moves(
+        ("2000-01-01", 1, "a", "b", "1"),
+        ("2000-01-02", 1, "a", "b", "1"),
+        ("2000-01-02", 1, "b", "a", "1"),
+        ("2000-01-02", 2, "a", "b", "1"),
+        ("2000-01-02", 3, "a", "c", "1"),
+        ("2000-01-02", None, "a", "c", "1"),
+    )
+    assert rows_of(party_breadth(found)) == [(1, 2), (2, 1)]
+
+
+def test_status_by_month(moves):
+    found = moves(
+        ("2000-01-01", 1, "a", "b", "1", "F"),
+        ("2000-01-31", 1, "a", "b", "2", "F"),
+        ("2000-01-31", 1, "a", "b", "4", None),
+        ("2000-02-01", 1, "a", "b", None, "F"),
+    )
+    assert rows_of(status_by_month(found)) == [
+        ("2000-01-01", "F", 2, 3.0),
+        ("2000-01-01", None, 1, 4.0),
+        ("2000-02-01", "F", 1, None),
+    ]
+
+
+@pytest.fixture
+def returning_party(moves):
+    return moves(
+        ("2000-01-31", 1, "a", "b", "1"),
+        ("2000-03-01", 1, "a", "b", "1"),
+        ("2000-03-02", 1, "a", "b", "1"),
+        ("2000-02-05", 2, "a", "b", "1"),
+        ("2000-03-05", 3, "a", "b", "1"),
+        ("2001-03-05", 2, "a", "b", "1"),
+        ("2000-03-05", None, "a", "b", "1"),
+        (None, 4, "a", "b", "1"),
+    )
+
+
+def test_new_and_returning(returning_party):
+    assert rows_of(new_and_returning(returning_party)) == [
+        ("2000-01-01", 1, 0),
+        ("2000-02-01", 1, 0),
+        ("2000-03-01", 1, 1),
+        ("2001-03-01", 0, 1),
+    ]
+
+
+def test_retention(returning_party):
+    assert rows_of(cohort_retention(returning_party)) == [
+        ("2000-01-01", 0, 1),
+        ("2000-01-01", 2, 1),
+        ("2000-02-01", 0, 1),
+        ("2000-02-01", 13, 1),
+        ("2000-03-01", 0, 1),
+    ]
+
+
+def test_latest_per_key(spark):
+    def line(order, number, part, day, quantity=1.0):
+        shipped = day and datetime(2000, 1, day)
+        return (order, part, 1, number, quantity, 1.0, 0.0, 0.0, "A", "F", shipped)
+
+    lines = spark.createDataFrame(
+        [
+            line(1, 1, 7, 5),
+            line(1, 1, 8, 9),
+            line(1, 1, 9, None),
+            line(1, 2, 7, 5, 1.0),
+            line(1, 2, 7, 5, 2.0),
+            line(2, 1, 7, 5),
+            line(2, 1, 7, 5),
+            line(3, 1, 7, None),
+        ],
+        SCHEMAS["lineitem"],
+    )
+    found = latest_per_key(lines, ("l_orderkey", "l_linenumber"), ("l_shipdate",))
+    assert found.columns == lines.columns
+    assert rows_of(found, "l_orderkey", "l_linenumber", "l_partkey", "l_quantity") == [
+        (1, 1, 8, 1.0),
+        (1, 2, 7, 2.0),
+        (2, 1, 7, 1.0),
+        (3, 1, 7, 1.0),
+    ]
+
+
+def test_latest_per_key_is_reduced_before_the_shuffle(spark):
+    lines = read_tables(spark, SMALL, ("lineitem",))["lineitem"]
+    plan = plan_of(latest_per_key(lines, ("l_orderkey",), ("l_shipdate",)))
+    physical = plan[plan.index("== Physical Plan ==") :]
+    first_cut = physical.index("WindowGroupLimit", physical.index("Exchange"))
+    assert "Partial" in physical[first_cut : first_cut + 900]
+
+
+def test_approximate_count_is_within_bounds(spark):
+    found = load_transfers(spark, SMALL)
+    for rsd in (0.05, 0.01):
+        estimate = approx_parties(found, rsd).first().approx_parties
+        assert abs(estimate - 150) <= max(1, 3 * rsd * 150)
+
+
+def test_weekday_and_hour(spark):
+    events = spark.createDataFrame(
+        [
+            (1, datetime(2024, 1, 6, 23, 59, 59), 1, "v", 0.0, "{}"),
+            (2, datetime(2024, 1, 7, 0, 0), 1, "v", 0.0, "{}"),
+            (3, datetime(2024, 1, 7, 0, 59), 1, "v", 0.0, "{}"),
+            (4, datetime(2024, 1, 8, 5, 0), 1, "v", 0.0, "{}"),
+        ],
+        SCHEMAS["events"],
+    )
+    assert rows_of(weekday_hour(events)) == [(0, 0, 2), (1, 5, 1), (6, 23, 1)]

@@ -23,7 +23,8 @@ def top_parties(moves: DataFrame, k: int = 20) -> DataFrame:
 
 def party_breadth(moves: DataFrame) -> DataFrame:
     """How many parties use how many different paths."""
-    used = moves.select("party", "src", "dst").distinct()
+    known = moves.where(F.col("party").isNotNull())
+    used = known.select("party", "src", "dst").distinct()
     return (
         used.groupBy("party")
         .agg(F.count(F.lit(1)).alias("paths"))

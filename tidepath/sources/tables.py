@@ -67,8 +67,8 @@ def table_path(folder: str, name: str) -> str:
 
 
 def check_schema(found: T.StructType, expected: T.StructType, what: str) -> None:
-    """Raise if a column is missing or has another type."""
-    types = {field.name: field.dataType for field in found}
+    """Raise if a column is missing or has another type; case does not matter."""
+    types = {field.name.lower(): field.dataType for field in found}
     wrong = [
         f"{field.name}: expected {field.dataType.simpleString()}, found "
         + (types[field.name].simpleString() if field.name in types else "nothing")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidepath.sources.tables import SCHEMAS, check_schema
 
@@ -22,12 +23,13 @@ def read_warehouse(
     fetch_size: int = 10_000,
     options: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """One base table, fetched by `num_partitions` tasks, checked like a file.
+    """One base table, fetched by `num_partitions` tasks, with the fixed schema.
 
     The bounds only set the stride: rows outside them land in the first and last
     task, so none are lost. Filters and column choice are sent to the warehouse.
-    The JDBC driver jar and the credentials come from the caller's `options`
-    and Spark settings.
+    `customSchema` turns the warehouse's own number types into those of the
+    schema. The JDBC driver jar and the credentials come from the caller's
+    `options` and Spark settings.
     """
     if name not in SCHEMAS:
         raise ValueError(f"unknown table {name!r}; known: {sorted(SCHEMAS)}")
@@ -42,8 +44,11 @@ def read_warehouse(
         numPartitions=str(num_partitions),
         fetchsize=str(fetch_size),
         preferTimestampNTZ="true",
+        customSchema=", ".join(
+            f"{field.name} {field.dataType.simpleString()}" for field in SCHEMAS[name]
+        ),
         **(options or {}),
     )
     frame = reader.load()
     check_schema(frame.schema, SCHEMAS[name], f"{url} {table or name}")
-    return frame.select(*SCHEMAS[name].names)
+    return frame.select(*(F.col(column).alias(column) for column in SCHEMAS[name].names))
