@@ -13,6 +13,7 @@ from tidepath.operators import (
     size_bands,
 )
 from tidepath.operators.flows import quantile_name
+from tidepath.plans.views import place_names
 from tidepath.sources.tables import SCHEMAS
 
 
@@ -44,6 +45,13 @@ def test_matrix_with_odd_names(moves):
     assert rows_of(found) == [("a.b", 0, 1)]
 
 
+def test_too_many_places_are_refused(spark):
+    nation = spark.createDataFrame([(1, "b", 1), (2, "a", 1), (3, None, 1)], SCHEMAS["nation"])
+    assert place_names(nation, limit=3) == ["a", "b"]
+    with pytest.raises(ValueError):
+        place_names(nation, limit=2)
+
+
 def test_region_subtotals(spark, moves):
     nation = spark.createDataFrame([(1, "a", 1), (2, "b", 1), (3, "c", 2)], SCHEMAS["nation"])
     region = spark.createDataFrame([(1, "R1"), (2, "R2")], SCHEMAS["region"])

@@ -13,10 +13,19 @@ from tidepath.plans.views import load_transfers
 
 def test_job_stores_what_the_operators_give(spark, tmp_path):
     target = str(tmp_path / "overview")
-    write_overview_tables(spark, SMALL, target, "1997-05-01", "1998-02-15")
+    names = write_overview_tables(spark, SMALL, target, "1997-05-01", "1998-02-15")
+    assert {"region_subtotals", "path_matrix", "size_bands"} < set(names)
     moves = ops.transfers_filtered(load_transfers(spark, SMALL), "1997-05-01", "1998-02-15")
     for name, operator in {**FROM_CUBE, **FROM_TRANSFERS}.items():
         assert rows_of(spark.read.parquet(f"{target}/{name}")) == rows_of(operator(moves)), name
+    total = ops.totals(moves).first()
+    regions = spark.read.parquet(f"{target}/region_subtotals")
+    assert rows_of(regions.where("region is null"), "n", "volume") == [
+        (total.n, float(total.volume))
+    ]
+    assert sum(row.n for row in spark.read.parquet(f"{target}/size_bands").collect()) == total.n
+    matrix = spark.read.parquet(f"{target}/path_matrix")
+    assert sum(sum(row[1:]) for row in matrix.collect()) == total.n
 
 
 def test_stored_months_are_pruned_and_replaced_alone(spark, tmp_path):

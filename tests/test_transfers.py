@@ -114,3 +114,40 @@ def test_cube_days_do_not_depend_on_the_time_zone(spark, moves, zone):
         assert rows_of(daily_cube(found), "sent_at", "n") == [("2000-01-01", 2)]
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_a_hot_order_is_split_over_tasks(spark):
+    """A third of the lines in one order: the large join splits them, and loses none."""
+    settings = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    tables = base_tables(spark, [])
+    ids = spark.range(0, 90_000, 1, 8)
+    tables["lineitem"] = ids.selectExpr(
+        "if(id % 3 = 0, 1, id) as l_orderkey",
+        "id as l_partkey",
+        "if(id % 2 = 0, 10L, 20L) as l_suppkey",
+        "1 as l_linenumber",
+        "1.0D as l_extendedprice",
+    )
+    tables["orders"] = spark.range(0, 90_000, 1, 8).selectExpr(
+        "id as o_orderkey",
+        "if(id % 2 = 0, 100L, 200L) as o_custkey",
+        "'F' as o_orderstatus",
+        "timestamp_ntz'2000-01-01' as o_orderdate",
+    )
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        found = totals(transfers(tables))
+        # Supplier and order are in different places where one is odd and one even.
+        n = sum(1 for id in range(90_000) if id % 2 != (1 if id % 3 == 0 else id) % 2)
+        assert rows_of(found, "n", "volume") == [(n, float(n))]
+        assert "SortMergeJoin(skew=true)" in plan_of(found)
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)

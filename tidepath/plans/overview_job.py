@@ -19,11 +19,15 @@ from pyspark.sql import functions as F
 from tidepath import operators as ops
 from tidepath.functions.periods import as_moment
 from tidepath.operators.transfers import TRANSFER_COLUMNS
+from tidepath.plans.views import place_names
 from tidepath.session import build_session
 from tidepath.sources import read_tables, write_overview
+from tidepath.sources.tables import TRANSFER_TABLES
 
 Moment = str | date | datetime | None
 
+BAND_EDGES = ("25000.00", "75000.00")
+
 FROM_CUBE: dict[str, Callable[[DataFrame], DataFrame]] = {
     "by_day": lambda cube: ops.by_period(cube, "day"),
     "by_week": lambda cube: ops.by_period(cube, "week"),
@@ -74,19 +78,33 @@ def stored_transfers(
 
 
 def write_overview_tables(
-    spark: SparkSession, source: str, target: str, start: Moment = None, end: Moment = None
-) -> None:
-    """Read the base tables in `source` and store every overview in `target`."""
-    tables = read_tables(spark, source, check=True)
+    spark: SparkSession,
+    source: str,
+    target: str,
+    start: Moment = None,
+    end: Moment = None,
+    band_edges: tuple[str, str] = BAND_EDGES,
+) -> list[str]:
+    """Read the base tables in `source`, store every overview in `target`.
+
+    Returns the names of the stored tables.
+    """
+    tables = read_tables(spark, source, (*TRANSFER_TABLES, "region"), check=True)
+    nation, region = tables["nation"], tables["region"]
     target = target.rstrip("/")
     selected = ops.transfers_filtered(ops.transfers(tables), start, end)
     store_transfers(selected, f"{target}/transfers")
     moves = stored_transfers(spark, f"{target}/transfers")
     write_overview(ops.daily_cube(moves), f"{target}/daily_cube")
     cube = spark.read.parquet(f"{target}/daily_cube")
-    for source_rows, operators in ((cube, FROM_CUBE), (moves, FROM_TRANSFERS)):
-        for name, operator in operators.items():
-            write_overview(operator(source_rows), f"{target}/{name}")
+    overviews = {name: operator(cube) for name, operator in FROM_CUBE.items()}
+    overviews |= {name: operator(moves) for name, operator in FROM_TRANSFERS.items()}
+    overviews["region_subtotals"] = ops.region_subtotals(cube, nation, region)
+    overviews["path_matrix"] = ops.path_matrix(cube, place_names(nation))
+    overviews["size_bands"] = ops.size_bands(moves, band_edges)
+    for name, overview in overviews.items():
+        write_overview(overview, f"{target}/{name}")
+    return ["transfers", "daily_cube", *overviews]
 
 
 if __name__ == "__main__":

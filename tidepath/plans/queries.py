@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidepath import operators as ops
-from tidepath.plans.views import load_transfers, register_transfers
+from tidepath.plans.views import load_transfers, place_names, register_transfers
 from tidepath.session import new_work_path
 from tidepath.sources import SCHEMAS, read_tables, write_overview
-from tidepath.sources.tables import table_path
+from tidepath.sources.tables import TRANSFER_TABLES, table_path
 from tidepath.streaming import (
     append_to_files,
     keep_latest,
@@ -30,7 +30,6 @@ PERIOD = ("1996-02-01", "1999-11-01")
 SOURCES = ("NATION_3", "NATION_7", "NATION_11", "NATION_19", "NATION_24")
 STATUSES = ("F", "O")
 BAND_EDGES = ("25000.00", "75000.00")
-MAX_PLACES = 1000
 
 
 def _plain(df: DataFrame) -> DataFrame:
@@ -85,22 +84,14 @@ def _transfers_filtered(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _region_subtotals(spark: SparkSession, folder: str) -> DataFrame:
-    lookups = read_tables(spark, folder, ("nation", "region"))
-    moves = load_transfers(spark, folder)
-    return _plain(ops.region_subtotals(moves, lookups["nation"], lookups["region"]))
-
-
-def _place_names(spark: SparkSession, folder: str) -> list[str]:
-    """The nation names, which become column names, so there must be few."""
-    names = read_tables(spark, folder, ("nation",))["nation"].select("n_name").distinct()
-    rows = names.limit(MAX_PLACES + 1).collect()
-    if len(rows) > MAX_PLACES:
-        raise ValueError(f"more than {MAX_PLACES} places do not fit in one row")
-    return sorted(row.n_name for row in rows)
+    tables = read_tables(spark, folder, (*TRANSFER_TABLES, "region"))
+    moves = ops.transfers(tables)
+    return _plain(ops.region_subtotals(moves, tables["nation"], tables["region"]))
 
 
 def _path_matrix(spark: SparkSession, folder: str) -> DataFrame:
-    return ops.path_matrix(load_transfers(spark, folder), _place_names(spark, folder))
+    tables = read_tables(spark, folder)
+    return ops.path_matrix(ops.transfers(tables), place_names(tables["nation"]))
 
 
 def _latest_per_key(spark: SparkSession, folder: str) -> DataFrame:
