@@ -4,6 +4,7 @@ import pytest
 from conftest import SMALL, rows_of
 from pyspark.sql import functions as F
 
+from tidepath.operators import transfers
 from tidepath.plans.views import load_transfers
 from tidepath.session import new_work_path
 from tidepath.sources import SCHEMAS, read_tables, read_warehouse, write_overview
@@ -110,6 +111,23 @@ def test_warehouse_read_is_split_and_typed(spark):
         )
 
 
+@pytest.mark.parametrize("rows, marked", [(25, True), (24, False), (0, False)])
+def test_small_warehouse_lookups_are_broadcast(spark, rows, marked):
+    nation = read_warehouse(
+        SimpleNamespace(read=FakeReader(read_tables(spark, SMALL, ("nation",))["nation"])),
+        "jdbc:somewhere",
+        "nation",
+        partition_column="n_nationkey",
+        lower_bound="0",
+        upper_bound="25",
+        num_partitions=1,
+        broadcast_rows=rows,
+    )
+    assert ("ResolvedHint" in nation._jdf.queryExecution().analyzed().toString()) == marked
+    tables = read_tables(spark, SMALL) | {"nation": nation}
+    assert transfers(tables).count() == 5765
+
+
 def test_work_path_uses_the_shared_folder(spark):
     shared = spark.conf.get("spark.checkpoint.dir")
     first, second = new_work_path(spark, "x"), new_work_path(spark, "x")

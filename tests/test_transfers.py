@@ -5,6 +5,7 @@ from conftest import SMALL, plan_of, rows_of
 
 from tidepath.operators import daily_cube, paths, totals, transfers, transfers_filtered
 from tidepath.plans.views import load_transfers, register_transfers
+from tidepath.sources import read_tables
 from tidepath.sources.tables import SCHEMAS
 
 
@@ -85,6 +86,10 @@ def test_filters_reach_the_scans(spark):
     assert "GreaterThanOrEqual(o_orderdate,1998-01-01" in plan
     assert "LessThan(o_orderdate,1999-01-01" in plan
     assert "EqualTo(n_name,NATION_3)" in plan
+    # The lookup of the source sits below the sort-merge join of lines and orders.
+    physical = plan[plan.index("== Physical Plan ==") :]
+    assert physical.index("SortMergeJoin") < physical.index("EqualTo(n_name,NATION_3)")
+    assert physical.count("SortMergeJoin") == 1
 
 
 def test_only_needed_columns_are_read(spark):
@@ -116,7 +121,7 @@ def test_cube_days_do_not_depend_on_the_time_zone(spark, moves, zone):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
-def test_a_hot_order_is_split_over_tasks(spark):
+def test_a_hot_order_is_split_over_tasks(spark, tmp_path):
     """A third of the lines in one order: the large join splits them, and loses none."""
     settings = {
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
@@ -125,6 +130,9 @@ def test_a_hot_order_is_split_over_tasks(spark):
         "spark.sql.shuffle.partitions": "16",
     }
     tables = base_tables(spark, [])
+    for name in ("nation", "supplier", "customer"):
+        tables[name].write.parquet(f"{tmp_path}/{name}.parquet")
+    tables = read_tables(spark, str(tmp_path), ("nation", "supplier", "customer"))
     ids = spark.range(0, 90_000, 1, 8)
     tables["lineitem"] = ids.selectExpr(
         "if(id % 3 = 0, 1, id) as l_orderkey",

@@ -27,36 +27,41 @@ TRANSFER_COLUMNS = (
 def transfers(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Every lineitem whose supplier and customer sit in different nations.
 
-    Orders meet their customers first, so lineitem, by far the largest input, is
-    shuffled for that result and at most once more, for suppliers. That large
-    join is a sort-merge join at any size: both sides grow with the data, and
-    adaptive execution splits an order or party that holds much of it. The other
-    joins are left to Spark, which broadcasts a table only when its files are
-    smaller than `spark.sql.autoBroadcastJoinThreshold`. Rows carry nation keys
-    until the end, where the names are looked up.
+    Lookups come before the one large join: lines get their source and orders
+    their target first. So a filter on period, places or asset thins both sides
+    before they are shuffled by order, and nothing is looked up for wide rows.
+    The large join is a sort-merge join at any size, as both sides grow with the
+    data; adaptive execution splits an order that holds much of it. The lookups
+    are left to Spark, which broadcasts a table only when its files are smaller
+    than `spark.sql.autoBroadcastJoinThreshold` and sort-merges it otherwise,
+    again splitting a supplier or party that holds much of the rows.
     """
     nation = tables["nation"]
     senders = nation.select(F.col("n_nationkey").alias("src_key"), F.col("n_name").alias("src"))
     receivers = nation.select(F.col("n_nationkey").alias("dst_key"), F.col("n_name").alias("dst"))
+    lines = (
+        tables["lineitem"]
+        .join(tables["supplier"], F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(senders, F.col("s_nationkey") == F.col("src_key"))
+        .select(
+            "l_orderkey",
+            "l_linenumber",
+            "l_partkey",
+            "src_key",
+            "src",
+            F.col("l_extendedprice").cast("decimal(18,2)").alias("amount"),
+        )
+    )
     sendings = (
         tables["orders"]
         .join(tables["customer"], F.col("o_custkey") == F.col("c_custkey"))
-        .select("o_orderkey", "o_orderdate", "o_custkey", "o_orderstatus", "c_nationkey")
+        .join(receivers, F.col("c_nationkey") == F.col("dst_key"))
+        .select("o_orderkey", "o_orderdate", "o_custkey", "o_orderstatus", "dst_key", "dst")
         .hint("merge")
     )
-    lines = tables["lineitem"].select(
-        "l_orderkey",
-        "l_linenumber",
-        "l_partkey",
-        "l_suppkey",
-        F.col("l_extendedprice").cast("decimal(18,2)").alias("amount"),
-    )
     return (
         lines.join(sendings, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(tables["supplier"], F.col("l_suppkey") == F.col("s_suppkey"))
-        .where(F.col("s_nationkey") != F.col("c_nationkey"))
-        .join(senders, F.col("s_nationkey") == F.col("src_key"))
-        .join(receivers, F.col("c_nationkey") == F.col("dst_key"))
+        .where(F.col("src_key") != F.col("dst_key"))
         .select(
             F.struct(
                 F.col("l_orderkey").alias("order"), F.col("l_linenumber").alias("line")

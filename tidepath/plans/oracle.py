@@ -184,7 +184,7 @@ ORACLE: dict[str, str] = {
             FROM transfers GROUP BY 1
         )""",
         """
-        SELECT period, n - lag(n) OVER (ORDER BY period) AS diff_n,
+        SELECT period, CAST(n - lag(n) OVER (ORDER BY period) AS DOUBLE) AS diff_n,
                round(CAST(n - lag(n) OVER (ORDER BY period) AS DOUBLE) * 100
                      / lag(n) OVER (ORDER BY period), 4) AS diff_pct
         FROM monthly

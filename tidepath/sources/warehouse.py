@@ -21,6 +21,7 @@ def read_warehouse(
     upper_bound: str,
     num_partitions: int,
     fetch_size: int = 10_000,
+    broadcast_rows: int = 0,
     options: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """One base table, fetched by `num_partitions` tasks, with the fixed schema.
@@ -30,6 +31,10 @@ def read_warehouse(
     `customSchema` turns the warehouse's own number types into those of the
     schema. The JDBC driver jar and the credentials come from the caller's
     `options` and Spark settings.
+
+    Spark knows no size for such a table and would shuffle the other side of a
+    join with it. For a lookup table, `broadcast_rows` counts its rows, up to that
+    number, and marks it for broadcast if it has no more; else it stays as it is.
     """
     if name not in SCHEMAS:
         raise ValueError(f"unknown table {name!r}; known: {sorted(SCHEMAS)}")
@@ -51,4 +56,7 @@ def read_warehouse(
     )
     frame = reader.load()
     check_schema(frame.schema, SCHEMAS[name], f"{url} {table or name}")
-    return frame.select(*(F.col(column).alias(column) for column in SCHEMAS[name].names))
+    frame = frame.select(*(F.col(column).alias(column) for column in SCHEMAS[name].names))
+    if broadcast_rows and frame.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        return F.broadcast(frame)
+    return frame
