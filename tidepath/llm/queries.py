@@ -10,6 +10,8 @@ from tidepath.llm.common import read_table, remainder
 from tidepath.llm.contamination import find_benchmark, item_digest
 from tidepath.llm.langid import predict_language
 from tidepath.llm.mixing import mix_sources
+from tidepath.llm.ordered_minhash import near_duplicates
+from tidepath.llm.substrings import remove_repeats
 from tidepath.llm.tokens import count_tokens
 from tidepath.llm.toxicity import score_toxicity
 
@@ -27,12 +29,20 @@ def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return count_tokens(docs, public_tokenizers.path(TOKENIZER))
 
 
+def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return remove_repeats(read_table(spark, folder, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = (read_table(spark, folder, name) for name in ("documents", "labels"))
     found = score_toxicity(docs, labels, learn=remainder("doc_id", 4) != 2)
     return found.withColumn("held_out", remainder("doc_id", 4) == 2)
 
 
+def op8_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(read_table(spark, folder, "documents"))
+
+
 def op9_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mix_sources(read_table(spark, folder, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -54,7 +64,9 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_token_counts": op2_token_counts,
+    "op5_substring_dedup": op5_substring_dedup,
     "op7_toxicity": op7_toxicity,
+    "op8_near_duplicates": op8_near_duplicates,
     "op9_source_mix": op9_source_mix,
     "op10_decontamination": op10_decontamination,
 }
