@@ -7,7 +7,6 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,8 +54,11 @@ def window_keys(words: np.ndarray, n: int, window: int) -> np.ndarray:
     there are far fewer keys than windows. With `n = window` it is the window's hash.
     """
     grams = gram_hashes(words, n)
-    reach = window - n + 1
-    return sliding_window_view(grams, reach).min(axis=1) if len(grams) >= reach else grams[:0]
+    many = max(0, len(words) - window + 1)
+    least = grams[:many].copy()
+    for at in range(1, window - n + 1):
+        np.minimum(least, grams[at : at + many], out=least)
+    return least
 
 
 def levels_of(start: int, window: int) -> list[int]:
@@ -99,7 +101,7 @@ def _heads(rows: DataFrame) -> DataFrame:
 
 
 def _keys(rows: DataFrame, n: int, window: int, passed: list[tuple[int, str]]) -> DataFrame:
-    """`fp, key`: the distinct keys of length `n` of the windows that survive."""
+    """`at, fp, key`: the distinct keys of length `n` of the windows that survive."""
     lengths = [length for length, _ in passed]
     columns = [rows.columns.index(name) for _, name in passed]
 
@@ -114,28 +116,35 @@ def _keys(rows: DataFrame, n: int, window: int, passed: list[tuple[int, str]]) -
                 keys = window_keys(words, n, window)
                 if lengths:
                     keys = keys[surviving(words, window, [*zip(lengths, (k[at] for k in known))])]
-                found.append(np.unique(keys).view(np.int64))
-            return {"fp": batch.column(1), "keys": found}
+                fresh = np.ones(len(keys), bool)
+                fresh[1:] = keys[1:] != keys[:-1]
+                found.append(np.unique(keys[fresh]).view(np.int64))
+            return {"at": batch.column(0), "fp": batch.column(1), "keys": found}
 
         return step
 
-    made = per_slice(rows, "text", "fp long, keys array<long>", work)
-    return made.select("fp", F.explode("keys").alias("key"))
+    made = per_slice(rows, "text", "at long, fp long, keys array<long>", work)
+    return made.select("at", "fp", F.explode("keys").alias("key"))
 
 
 def _repeated_keys(keys: DataFrame, name: str) -> DataFrame:
-    """Per text the keys that another text has too, as the array `name`."""
+    """Per id the keys that another text has too, as the array `name`.
+
+    Rows are sent by id and not by text, as neighbouring ids pack well. Texts that
+    share an id get the keys of both, which at most lets more windows survive.
+    """
     shared = (
         keys.groupBy("key")
         .agg(F.min("fp").alias("low"), F.max("fp").alias("high"))
         .where("low <> high")
         .select("key")
     )
-    return keys.join(shared, "key").groupBy("fp").agg(F.collect_set("key").alias(name))
+    found = keys.select("at", "key").join(shared, "key")
+    return found.groupBy("at").agg(F.collect_set("key").alias(name))
 
 
 def _windows(rows: DataFrame, window: int, passed: list[tuple[int, str]]) -> DataFrame:
-    """`at, fp, place, h1, h2`: each surviving window with 96 bits of hash."""
+    """`row, at, place, h1, h2`: each surviving window with 96 bits of hash."""
     columns = [rows.columns.index(name) for _, name in passed]
 
     def work():
@@ -153,20 +162,20 @@ def _windows(rows: DataFrame, window: int, passed: list[tuple[int, str]]) -> Dat
                 found["places"].append(places.astype(np.int32))
                 found["firsts"].append(gram_hashes(words, window)[places].view(np.int64))
                 found["seconds"].append((second >> np.uint64(32)).astype(np.uint32).view(np.int32))
-            return {"at": batch.column(0), "fp": batch.column(1), **found}
+            return {"row": batch.column(1), "at": batch.column(0), **found}
 
         return step
 
     made = per_slice(
         rows,
         "text",
-        "at long, fp long, places array<int>, firsts array<long>, seconds array<int>",
+        "row long, at long, places array<int>, firsts array<long>, seconds array<int>",
         work,
     )
     zipped = F.arrays_zip("places", "firsts", "seconds")
-    return made.select("at", "fp", F.explode(zipped).alias("w")).select(
+    return made.select("row", "at", F.explode(zipped).alias("w")).select(
+        "row",
         "at",
-        "fp",
         F.col("w.places").alias("place"),
         F.col("w.firsts").alias("h1"),
         F.col("w.seconds").alias("h2"),
@@ -241,15 +250,19 @@ def repeated_words(docs: DataFrame, window: int = 13, start: int = 7) -> tuple[D
     for number, n in enumerate(levels or [window]):
         name = f"keys{number}"
         found = _repeated_keys(_keys(texts, n, window, passed), name)
+        texts = texts.join(found, "at")
         if number == 0:
-            found = found.join(alone, "fp")
-            texts = texts.join(found, ["at", "fp"])
-        else:
-            texts = texts.join(found, "fp")
+            texts = texts.join(alone, ["at", "fp"], "left_semi")
         passed.append((n, name))
-        texts = stored(texts.select("at", "fp", "text", *(c for _, c in passed)), "repeats-texts")
-
-    windows = _windows(texts, window, passed)
+        texts = stored(
+            texts.select("at", "fp", "text", *(c for _, c in passed)).withColumn(
+                "row", F.monotonically_increasing_id()
+            ),
+            "repeats-texts",
+        )
+
+    by_row = texts.select("at", "row", "text", *(name for _, name in passed))
+    windows = _windows(by_row, window, passed)
     earliest = (
         windows.groupBy("h1", "h2")
         .agg(F.min("at").alias("low"), F.max("at").alias("high"))
@@ -259,10 +272,10 @@ def repeated_words(docs: DataFrame, window: int = 13, start: int = 7) -> tuple[D
     later = (
         windows.join(earliest, ["h1", "h2"])
         .where("at > low")
-        .groupBy("at", "fp")
+        .groupBy("row")
         .agg(F.collect_set("place").alias("places"))
     )
-    losing = texts.join(later, ["at", "fp"]).select("at", "fp", "text", "places")
+    losing = texts.join(later, "row").select("at", "fp", "text", "places")
     return heads, _cut(losing, window)
 
 
