@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 from tidepath.llm.common import read_table, remainder
 from tidepath.llm.contamination import find_benchmark, item_digest
 from tidepath.llm.langid import predict_language
+from tidepath.llm.lines import dedup_lines
 from tidepath.llm.mixing import mix_sources
 from tidepath.llm.ordered_minhash import near_duplicates
 from tidepath.llm.substrings import remove_repeats
 from tidepath.llm.tokens import count_tokens
 from tidepath.llm.toxicity import score_toxicity
+from tidepath.llm.vectors import near_vectors
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -29,10 +31,20 @@ def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return count_tokens(docs, public_tokenizers.path(TOKENIZER))
 
 
+def op4_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_vectors(read_table(spark, folder, "embeddings"))
+
+
 def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return remove_repeats(read_table(spark, folder, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = dedup_lines(read_table(spark, folder, "documents"))
+    kept = F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
+    return found.select("doc_id", "n_lines", "n_removed", kept)
+
+
 def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = (read_table(spark, folder, name) for name in ("documents", "labels"))
     found = score_toxicity(docs, labels, learn=remainder("doc_id", 4) != 2)
@@ -64,7 +76,9 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_token_counts": op2_token_counts,
+    "op4_embedding_dedup": op4_embedding_dedup,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_line_dedup": op6_line_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_source_mix": op9_source_mix,
