@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidepath.llm.common import read_table, remainder
 from tidepath.llm.contamination import find_benchmark, item_digest
 from tidepath.llm.langid import predict_language
+from tidepath.llm.language_model import score_texts
 from tidepath.llm.lines import dedup_lines
 from tidepath.llm.mixing import mix_sources
 from tidepath.llm.ordered_minhash import near_duplicates
@@ -31,6 +32,10 @@ def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return count_tokens(docs, public_tokenizers.path(TOKENIZER))
 
 
+def op3_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return score_texts(read_table(spark, folder, "documents"), remainder("doc_id", 7) == 2)
+
+
 def op4_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_vectors(read_table(spark, folder, "embeddings"))
 
@@ -76,6 +81,7 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_token_counts": op2_token_counts,
+    "op3_lm_scores": op3_lm_scores,
     "op4_embedding_dedup": op4_embedding_dedup,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_line_dedup": op6_line_dedup,
