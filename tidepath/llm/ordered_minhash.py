@@ -20,9 +20,10 @@ from tidepath.llm.substrings import LAST, WordHashes, gram_hashes, mix
 SHINGLE = 5
 SIMILARITY = 0.8
 # Sketches per document, and shingles in each. A pair with similarity 0.8 shares
-# one sketch with probability about 0.8**3, so it misses all with about 2 in 10,000.
-SKETCHES = 12
-SAMPLE = 3
+# one sketch with probability about 0.8**6, so it misses all with about 2 in 10,000;
+# a pair that has a third in common shares one with 1 in 30.
+SKETCHES = 28
+SAMPLE = 6
 # A document with very many partners is compared in groups of about so many.
 PARTNERS = 500
 
@@ -45,7 +46,7 @@ def label_occurrences(hashes: np.ndarray) -> np.ndarray:
     return labelled
 
 
-SEEDS = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
+SEEDS = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
 
 
 def sketches(hashes: np.ndarray, many: int = SKETCHES, sample: int = SAMPLE) -> list[int]:
@@ -56,7 +57,7 @@ def sketches(hashes: np.ndarray, many: int = SKETCHES, sample: int = SAMPLE) ->
     sample = min(sample, len(labelled))
     found = []
     for number in range(many):
-        value = mix(labelled ^ SEEDS[number])
+        value = labelled * SEEDS[number]  # the labels are mixed: an odd factor reorders them
         least = np.argpartition(value, sample - 1)[:sample]
         kept = labelled[np.sort(least)].tobytes()
         found.append(xxhash.xxh3_64_intdigest(kept, seed=number) - 2**63)
@@ -191,11 +192,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     firsts = (
         heads.where("n_words > 0").groupBy("digest").agg(F.min("at").alias("first"))
     )
-    heads_of = heads.join(firsts, "digest").select("at", "first", "sketch")
+    heads_of = heads.join(firsts, "digest").select("at", "first", "n_words", "sketch")
     copies = heads_of.where("at <> first").select(F.col("first").alias("a"), F.col("at").alias("b"))
+    # Similar texts differ in shingles by a factor of 1 / 0.8 at most, so they are in
+    # the same band of lengths or in neighbouring ones; each text is put in two.
+    band = F.floor(F.log(F.col("n_shingles")) / F.log(F.lit(1 / SIMILARITY))).cast("long")
     buckets = (
         heads_of.where("at = first")
-        .select("at", F.posexplode("sketch").alias("number", "key"))
+        .withColumn("n_shingles", F.greatest(F.col("n_words") - (SHINGLE - 1), F.lit(1)))
+        .select("at", band.alias("band"), F.posexplode("sketch").alias("number", "sketched"))
+        .select(
+            "at",
+            "number",
+            F.explode(
+                F.array(
+                    F.xxhash64("sketched", "band"), F.xxhash64("sketched", F.col("band") + 1)
+                )
+            ).alias("key"),
+        )
         .distinct()
     )
     leads = (
