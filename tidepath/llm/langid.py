@@ -190,12 +190,12 @@ class Labeller:
         self.sums = np.concatenate([self.sums, sums])
 
     def __call__(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        known = [text is not None and has_letter(text) for text in texts]
+        known = [bool(self.names) and text is not None and has_letter(text) for text in texts]
         parts = [pieces_of(text) if ok else [] for text, ok in zip(texts, known)]
         self.learn_pieces(parts)
         found = []
         for some in parts:
-            if not some or not self.names:
+            if not some:
                 found.append(("und", 0.0))
                 continue
             at = np.fromiter(map(self.number.__getitem__, some), np.int64, len(some))
