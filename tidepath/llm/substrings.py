@@ -250,9 +250,11 @@ def repeated_words(docs: DataFrame, window: int = 13, start: int = 7) -> tuple[D
     for number, n in enumerate(levels or [window]):
         name = f"keys{number}"
         found = _repeated_keys(_keys(texts, n, window, passed), name)
-        texts = texts.join(found, "at")
         if number == 0:
-            texts = texts.join(alone, ["at", "fp"], "left_semi")
+            # The small tables are joined first, so that the texts are shuffled once.
+            texts = texts.join(alone.join(found, "at"), ["at", "fp"])
+        else:
+            texts = texts.join(found, "at")
         passed.append((n, name))
         texts = stored(
             texts.select("at", "fp", "text", *(c for _, c in passed)).withColumn(
