@@ -4,10 +4,12 @@ from decimal import Decimal
 import numpy as np
 import pytest
 from conftest import rows_of
+from pyspark.sql import functions as F
 
 from tidepath.operators import (
     amount_quantiles,
     net_flow,
+    path_counts,
     path_matrix,
     region_subtotals,
     size_bands,
@@ -45,11 +47,12 @@ def test_matrix_with_odd_names(moves):
     assert rows_of(found) == [("a.b", 0, 1)]
 
 
-def test_too_many_places_are_refused(spark):
+def test_any_number_of_places(spark, moves):
     nation = spark.createDataFrame([(1, "b", 1), (2, "a", 1), (3, None, 1)], SCHEMAS["nation"])
-    assert place_names(nation, limit=3) == ["a", "b"]
-    with pytest.raises(ValueError):
-        place_names(nation, limit=2)
+    assert place_names(nation) == ["a", "b"]
+    found = moves(*(("2000-01-01", 1, "a", f"p{number}", "1") for number in range(1500)))
+    (row,) = path_counts(found.unionByName(found)).collect()
+    assert row.src == "a" and row.n_by_dst == {f"p{number}": 2 for number in range(1500)}
 
 
 def test_region_subtotals(spark, moves):
@@ -62,12 +65,32 @@ def test_region_subtotals(spark, moves):
         ("2000-01-01", 1, "c", "a", "8"),
     )
     assert rows_of(region_subtotals(found, nation, region)) == [
-        ("R1", "a", 2, 3.0),
-        ("R1", "b", 1, 4.0),
-        ("R1", None, 3, 7.0),
-        ("R2", "c", 1, 8.0),
-        ("R2", None, 1, 8.0),
-        (None, None, 4, 15.0),
+        ("all", None, None, 4, 15.0),
+        ("place", "R1", "a", 2, 3.0),
+        ("place", "R1", "b", 1, 4.0),
+        ("place", "R2", "c", 1, 8.0),
+        ("region", "R1", None, 3, 7.0),
+        ("region", "R2", None, 1, 8.0),
+    ]
+
+
+def test_subtotals_of_unknown_places_and_regions(spark, moves):
+    nation = spark.createDataFrame([(1, "a", 1), (2, "b", 9)], SCHEMAS["nation"])
+    region = spark.createDataFrame([(1, "R1")], SCHEMAS["region"])
+    found = moves(
+        ("2000-01-01", 1, "a", "b", "1"),
+        ("2000-01-01", 1, "b", "a", "2"),
+        ("2000-01-01", 1, "x", "a", "4"),
+        ("2000-01-01", 1, None, "a", "8"),
+    )
+    assert rows_of(region_subtotals(found, nation, region)) == [
+        ("all", None, None, 4, 15.0),
+        ("place", "R1", "a", 1, 1.0),
+        ("place", None, "b", 1, 2.0),
+        ("place", None, "x", 1, 4.0),
+        ("place", None, None, 1, 8.0),
+        ("region", "R1", None, 1, 1.0),
+        ("region", None, None, 3, 14.0),
     ]
 
 
@@ -140,6 +163,15 @@ def test_quantiles_next_to_a_range_border(moves):
     )
 
 
+def test_quantiles_of_wide_amounts(spark, moves):
+    """200,000 amounts from 0 to 1e15 in one source."""
+    amount = (F.col("id") * 5_000_000_007).cast("decimal(18,2)").alias("amount")
+    wide = spark.range(200_000).select(F.lit("a").alias("src"), amount)
+    row = amount_quantiles(wide, (0.5, 0.95)).first()
+    known = np.arange(200_000) * 5_000_000_007
+    assert (row.p50, row.p95) == pytest.approx(tuple(np.quantile(known, (0.5, 0.95))), rel=1e-12)
+
+
 def test_quantile_arguments(moves):
     with pytest.raises(ValueError):
         amount_quantiles(moves(), ())

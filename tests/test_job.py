@@ -1,3 +1,5 @@
+from datetime import date, datetime
+
 from conftest import SMALL, plan_of, rows_of
 
 from tidepath import operators as ops
@@ -6,6 +8,7 @@ from tidepath.plans.overview_job import (
     FROM_TRANSFERS,
     store_transfers,
     stored_transfers,
+    whole_months,
     write_overview_tables,
 )
 from tidepath.plans.views import load_transfers
@@ -13,8 +16,10 @@ from tidepath.plans.views import load_transfers
 
 def test_job_stores_what_the_operators_give(spark, tmp_path):
     target = str(tmp_path / "overview")
-    names = write_overview_tables(spark, SMALL, target, "1997-05-01", "1998-02-15")
-    assert {"region_subtotals", "path_matrix", "size_bands"} < set(names)
+    names = write_overview_tables(
+        spark, SMALL, target, "1997-05-01", "1998-02-15", replace="all"
+    )
+    assert {"region_subtotals", "path_counts", "size_bands"} < set(names)
     moves = ops.transfers_filtered(load_transfers(spark, SMALL), "1997-05-01", "1998-02-15")
     for name, operator in {**FROM_CUBE, **FROM_TRANSFERS}.items():
         assert rows_of(spark.read.parquet(f"{target}/{name}")) == rows_of(operator(moves)), name
@@ -24,8 +29,18 @@ def test_job_stores_what_the_operators_give(spark, tmp_path):
         (total.n, float(total.volume))
     ]
     assert sum(row.n for row in spark.read.parquet(f"{target}/size_bands").collect()) == total.n
-    matrix = spark.read.parquet(f"{target}/path_matrix")
-    assert sum(sum(row[1:]) for row in matrix.collect()) == total.n
+    matrix = spark.read.parquet(f"{target}/path_counts")
+    assert sum(sum(row.n_by_dst.values()) for row in matrix.collect()) == total.n
+    # A refresh from the middle of a month to that of another keeps all other rows.
+    write_overview_tables(spark, SMALL, target, "1998-01-10", "1998-03-15")
+    longer = ops.transfers_filtered(load_transfers(spark, SMALL), "1997-05-01", "1998-04-01")
+    assert rows_of(spark.read.parquet(f"{target}/totals")) == rows_of(ops.totals(longer))
+
+
+def test_windows_become_whole_months():
+    assert whole_months("1998-03-15", datetime(1998, 12, 2)) == (date(1998, 3, 1), date(1999, 1, 1))
+    assert whole_months(date(1998, 3, 1), "1998-04-01") == (date(1998, 3, 1), date(1998, 4, 1))
+    assert whole_months(None, None) == (None, None)
 
 
 def test_stored_months_are_pruned_and_replaced_alone(spark, tmp_path):

@@ -9,10 +9,11 @@ from conftest import SMALL, plan_of, rows_of
 
 import __spark_entry__ as contract
 from tidepath.operators import cumulative, daily_zero_filled, net_flow, paths, totals
+from tidepath.plans.oracle import ORACLE
+from tidepath.plans.queries import QUERIES
 from tidepath.plans.views import load_transfers
 from tidepath.sources.tables import SCHEMAS
 
-QUERIES, ORACLE = contract.queries(), contract.oracle_sql()
 BATCH = sorted(set(QUERIES) - {"live_daily", "live_daily_open", "stream_dedupe", "user_sessions"})
 
 
@@ -43,6 +44,11 @@ def test_only_the_estimate_has_no_sql():
     assert set(QUERIES) - set(ORACLE) == {"approx_parties"}
 
 
+def test_the_contract_names_them_all():
+    assert QUERIES.items() <= contract.queries().items()
+    assert ORACLE.items() <= contract.oracle_sql().items()
+
+
 def test_entry(spark):
     assert rows_of(contract.entry(spark), "n", "volume", "parties", "paths") == [
         (5765, 305669503.72, 150, 240)

@@ -4,6 +4,7 @@ from tidepath.operators.activity import weekday_hour
 from tidepath.operators.flows import (
     amount_quantiles,
     net_flow,
+    path_counts,
     path_matrix,
     region_subtotals,
     size_bands,
@@ -46,6 +47,7 @@ __all__ = [
     "net_flow",
     "new_and_returning",
     "party_breadth",
+    "path_counts",
     "path_matrix",
     "paths",
     "period_change",

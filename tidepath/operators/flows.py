@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from tidepath.functions.measures import MONEY, side_column, transfer_count, volume
 from tidepath.operators.overview import path_totals
 
-# Amounts are split at 2**20 cents to find a quantile: a group to sort then has
-# at most 1,048,576 distinct amounts, whatever the number of transfers.
-BUCKET_BITS = 20
+# Amounts are split at 2**40 and at 2**20 cents to find a quantile. With 18 digits
+# no level has more than 2**20 ranges or distinct amounts in a group to sort,
+# whatever the number of transfers.
+COARSE_BITS, FINE_BITS = 40, 20
 NULL_BUCKET = -(2**63)
 
 
@@ -47,22 +48,33 @@ def net_flow(moves: DataFrame) -> DataFrame:
 def region_subtotals(
     moves: DataFrame, nation: DataFrame, region: DataFrame, side: str = "src"
 ) -> DataFrame:
-    """Number and volume by place, by region, and in all.
+    """Number and volume by place, by region, and in all, each told by `level`.
 
-    A subtotal has null as its place, the grand total null for both. Places are
-    summed before the lookups and the rollup, which then see one row per place.
+    `level` is `place`, `region` or `all`: a place without a region, or no place,
+    keeps its rows and has null there, as subtotals do. Places are summed before
+    the lookups and the rollup, which then see one row per place.
     """
     by_side = moves.groupBy(side_column(side).alias("n_name")).agg(
         transfer_count(moves), volume(moves)
     )
-    homes = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(
-        "n_name", "r_name"
+    homes = (
+        nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"), "left")
+        .groupBy("n_name")
+        .agg(F.min("r_name").alias("r_name"))
+    )
+    level = F.element_at(
+        F.array(F.lit("place"), F.lit("region"), F.lit("all")),
+        F.bit_count(F.grouping_id()) + 1,
     )
     return (
-        by_side.join(homes, "n_name")
+        by_side.join(homes, "n_name", "left")
         .rollup(F.col("r_name").alias("region"), F.col("n_name").alias("place"))
-        .agg(F.sum("n").alias("n"), F.sum("volume").cast(MONEY).alias("volume"))
-        .select("region", "place", "n", "volume")
+        .agg(
+            F.sum("n").alias("n"),
+            F.sum("volume").cast(MONEY).alias("volume"),
+            level.alias("level"),
+        )
+        .select("level", "region", "place", "n", "volume")
     )
 
 
@@ -76,6 +88,21 @@ def path_matrix(moves: DataFrame, places: Sequence[str]) -> DataFrame:
     return counts.select("src", *filled)
 
 
+def path_counts(moves: DataFrame) -> DataFrame:
+    """Number of transfers per source, as one map from destination to number.
+
+    The same facts as `path_matrix` in a form whose columns do not depend on the
+    places, so any number of places fits. Paths are counted first.
+    """
+    entry = F.struct(F.col("dst").alias("key"), F.col("n").alias("value"))
+    return (
+        path_totals(moves)
+        .where(F.col("dst").isNotNull())
+        .groupBy("src")
+        .agg(F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("n_by_dst"))
+    )
+
+
 def size_bands(
     moves: DataFrame,
     edges: Sequence[str | int | Decimal],
@@ -104,7 +131,8 @@ def amount_quantiles(
 
     The built-in exact percentile keeps all distinct amounts of a source in one
     task. Here a source is cut into ranges of amounts, the ranges are counted to
-    see which hold the wanted ranks, and only those are sorted, each on its own.
+    see which hold the wanted ranks, only those are cut into finer ranges, and at
+    last the amounts of the finer ones are sorted, each range on its own.
     With `accuracy`, Spark's approximate percentile is used instead.
     """
     if not probs or any(not 0 <= prob <= 1 for prob in probs):
@@ -124,9 +152,17 @@ def amount_quantiles(
     amounts = (
         moves.groupBy("src", cents.alias("cents"))
         .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("bucket", F.coalesce(F.shiftright("cents", BUCKET_BITS), F.lit(NULL_BUCKET)))
+        .withColumns(
+            {
+                name: F.coalesce(F.shiftright("cents", bits), F.lit(NULL_BUCKET))
+                for name, bits in (("coarse", COARSE_BITS), ("bucket", FINE_BITS))
+            }
+        )
+    )
+    fine = amounts.groupBy("src", "coarse", "bucket").agg(
+        F.sum(F.when(F.col("cents").isNull(), 0).otherwise(F.col("n"))).alias("held")
     )
-    hits = _ranges_with_ranks(amounts, probs)
+    hits = _ranges_with_ranks(fine, probs)
     return _pick_ranks(amounts, hits, probs)
 
 
@@ -134,22 +170,31 @@ def _rank_position(prob: float, total: Column) -> Column:
     return F.lit(float(prob)) * (total - 1)
 
 
-def _ranges_with_ranks(amounts: DataFrame, probs: Sequence[float]) -> DataFrame:
-    """For each source, the ranges that hold a wanted rank (counted from 0).
+def _ranks_inside(ranks: Column) -> Column:
+    return F.filter(
+        ranks,
+        lambda rank: (rank >= F.col("before")) & (rank < F.col("before") + F.col("held")),
+    )
+
+
+def _ranges_with_ranks(fine: DataFrame, probs: Sequence[float]) -> DataFrame:
+    """For each source, the fine ranges that hold a wanted rank (counted from 0).
 
     The range of null amounts counts 0 rows and is kept, so that a source with
     nothing else keeps its row in the result.
     """
     source = Window.partitionBy("src")
-    so_far = source.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranges = (
-        amounts.groupBy("src", "bucket")
-        .agg(F.sum(F.when(F.col("cents").isNull(), 0).otherwise(F.col("n"))).alias("held"))
+    upto = Window.unboundedPreceding, Window.currentRow
+    coarse = (
+        fine.groupBy("src", "coarse")
+        .agg(F.sum("held").alias("held"))
         .select(
-            "src",
-            "bucket",
+            F.col("src").alias("hit_src"),
+            F.col("coarse").alias("hit_coarse"),
             "held",
-            (F.sum("held").over(so_far) - F.col("held")).alias("before"),
+            (F.sum("held").over(source.orderBy("coarse").rowsBetween(*upto)) - F.col("held")).alias(
+                "before"
+            ),
             F.sum("held").over(source).alias("total"),
         )
     )
@@ -162,12 +207,19 @@ def _ranges_with_ranks(amounts: DataFrame, probs: Sequence[float]) -> DataFrame:
             )
         )
     )
-    inside = F.filter(
-        wanted,
-        lambda rank: (rank >= F.col("before")) & (rank < F.col("before") + F.col("held")),
+    open_ranges = (
+        coarse.withColumn("ranks", _ranks_inside(wanted))
+        .where((F.size("ranks") > 0) | (F.col("hit_coarse") == NULL_BUCKET))
+        .select("hit_src", "hit_coarse", F.col("before").alias("start"), "total", "ranks")
+    )
+    within = Window.partitionBy("src", "coarse").orderBy("bucket").rowsBetween(*upto)
+    same_range = F.col("src").eqNullSafe(F.col("hit_src")) & (
+        F.col("coarse") == F.col("hit_coarse")
     )
     return (
-        ranges.withColumn("ranks", inside)
+        fine.join(open_ranges, same_range)
+        .withColumn("before", F.col("start") + F.sum("held").over(within) - F.col("held"))
+        .withColumn("ranks", _ranks_inside(F.col("ranks")))
         .where((F.size("ranks") > 0) | (F.col("bucket") == NULL_BUCKET))
         .select(
             F.col("src").alias("hit_src"),

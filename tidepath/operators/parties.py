@@ -90,6 +90,12 @@ def latest_per_key(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -
     )
 
 
-def approx_parties(moves: DataFrame, rsd: float = 0.05) -> DataFrame:
-    """Estimated number of parties; `rsd` is the relative standard deviation."""
-    return moves.agg(F.approx_count_distinct("party", rsd).alias("approx_parties"))
+def approx_parties(moves: DataFrame, rsd: float = 0.05, exact: bool = False) -> DataFrame:
+    """Estimated number of parties; `rsd` is the relative standard deviation.
+
+    With `exact` the true number comes along as `parties`, from the same pass.
+    """
+    counts = [F.approx_count_distinct("party", rsd).alias("approx_parties")]
+    if exact:
+        counts.append(F.countDistinct("party").alias("parties"))
+    return moves.agg(*counts)

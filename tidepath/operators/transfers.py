@@ -29,20 +29,29 @@ def transfers(tables: Mapping[str, DataFrame]) -> DataFrame:
 
     Lookups come before the one large join: lines get their source and orders
     their target first. So a filter on period, places or asset thins both sides
-    before they are shuffled by order, and nothing is looked up for wide rows.
-    The large join is a sort-merge join at any size, as both sides grow with the
-    data; adaptive execution splits an order that holds much of it. The lookups
-    are left to Spark, which broadcasts a table only when its files are smaller
-    than `spark.sql.autoBroadcastJoinThreshold` and sort-merges it otherwise,
-    again splitting a supplier or party that holds much of the rows.
+    before they are shuffled by order. Places are looked up for suppliers and
+    customers, small with small, so the large tables never move by the few places.
+    No join is forced: Spark broadcasts a side only when its size is below
+    `spark.sql.autoBroadcastJoinThreshold`, as the orders of a narrow filter may
+    be, and sort-merges it otherwise; adaptive execution then splits an order,
+    supplier or party that holds much of the rows.
     """
     nation = tables["nation"]
     senders = nation.select(F.col("n_nationkey").alias("src_key"), F.col("n_name").alias("src"))
     receivers = nation.select(F.col("n_nationkey").alias("dst_key"), F.col("n_name").alias("dst"))
+    suppliers = (
+        tables["supplier"]
+        .join(senders, F.col("s_nationkey") == F.col("src_key"))
+        .select("s_suppkey", "src_key", "src")
+    )
+    customers = (
+        tables["customer"]
+        .join(receivers, F.col("c_nationkey") == F.col("dst_key"))
+        .select("c_custkey", "dst_key", "dst")
+    )
     lines = (
         tables["lineitem"]
-        .join(tables["supplier"], F.col("l_suppkey") == F.col("s_suppkey"))
-        .join(senders, F.col("s_nationkey") == F.col("src_key"))
+        .join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
         .select(
             "l_orderkey",
             "l_linenumber",
@@ -54,10 +63,8 @@ def transfers(tables: Mapping[str, DataFrame]) -> DataFrame:
     )
     sendings = (
         tables["orders"]
-        .join(tables["customer"], F.col("o_custkey") == F.col("c_custkey"))
-        .join(receivers, F.col("c_nationkey") == F.col("dst_key"))
+        .join(customers, F.col("o_custkey") == F.col("c_custkey"))
         .select("o_orderkey", "o_orderdate", "o_custkey", "o_orderstatus", "dst_key", "dst")
-        .hint("merge")
     )
     return (
         lines.join(sendings, F.col("l_orderkey") == F.col("o_orderkey"))

@@ -7,6 +7,7 @@ type matches the Spark result.
 from __future__ import annotations
 
 from tidepath.plans.queries import BAND_EDGES, PERIOD, SOURCES, STATUSES
+from tidepath.sources.tables import SCHEMAS
 
 # The places of the given tables, as columns of the path matrix.
 PLACES = tuple(f"NATION_{number}" for number in range(25))
@@ -86,10 +87,15 @@ _LAST_EVENT = "(SELECT max(ts) FROM events)"
 
 ORACLE: dict[str, str] = {
     "read_tables": "\nUNION ALL\n".join(
-        f"SELECT '{name}' AS table_name, count(*) AS n FROM {name}"
-        for name in (
-            "region", "nation", "customer", "supplier", "orders", "lineitem", "events",
-        )
+        f"SELECT '{table}' AS table_name, '{column}' AS column_name, count(*) AS n, "
+        f"count({column}) AS n_known FROM {table}"
+        for table, schema in SCHEMAS.items()
+        for column in schema.names
+    ),
+    "approx_parties_bound": _with(
+        """
+        SELECT count(DISTINCT party) AS parties, true AS within_bound FROM transfers
+        """
     ),
     "transfers": _with(
         """
@@ -152,7 +158,7 @@ ORACLE: dict[str, str] = {
     "sql_over_view": _with(
         f"""
         SELECT status, src, count(*) AS n, {_VOLUME}
-        FROM transfers WHERE src < dst GROUP BY status, src HAVING count(*) > 1
+        FROM transfers GROUP BY status, src
         """
     ),
     "daily_zero_filled": _with(
@@ -221,11 +227,13 @@ ORACLE: dict[str, str] = {
     ),
     "region_subtotals": _with(
         f"""
-        SELECT r_name AS region, n_name AS place, count(*) AS n, {_VOLUME}
+        SELECT CASE WHEN GROUPING(r_name) = 1 THEN 'all' WHEN GROUPING(src) = 1 THEN 'region'
+                    ELSE 'place' END AS level,
+               r_name AS region, src AS place, count(*) AS n, {_VOLUME}
         FROM transfers
-        JOIN nation ON src = n_name
-        JOIN region ON n_regionkey = r_regionkey
-        GROUP BY ROLLUP (r_name, n_name)
+        LEFT JOIN nation ON src = n_name
+        LEFT JOIN region ON n_regionkey = r_regionkey
+        GROUP BY ROLLUP (r_name, src)
         """
     ),
     "path_matrix": _path_matrix(),

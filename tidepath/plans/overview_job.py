@@ -1,10 +1,12 @@
-"""All overview tables in one job.
+"""The overview tables in one job: all but B16, B17 and the estimate B18.
 
 usage: python -m tidepath.plans.overview_job SOURCE TARGET [START END]
 
 The joins behind the transfers run once: their result is stored by month and
 everything else reads that. What only counts and sums reads a daily cube made
-from it, whose size depends on days and places only.
+from it, whose size depends on days and places only. With START and END only the
+months they touch are made anew in an existing target, whole, and the overviews
+cover all months stored there.
 """
 
 from __future__ import annotations
@@ -19,7 +21,6 @@ from pyspark.sql import functions as F
 from tidepath import operators as ops
 from tidepath.functions.periods import as_moment
 from tidepath.operators.transfers import TRANSFER_COLUMNS
-from tidepath.plans.views import place_names
 from tidepath.session import build_session
 from tidepath.sources import read_tables, write_overview
 from tidepath.sources.tables import TRANSFER_TABLES
@@ -56,10 +57,26 @@ FROM_TRANSFERS: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 
 
+def whole_months(start: Moment, end: Moment) -> tuple[date | None, date | None]:
+    """The window widened to the first of `start`'s month and the end of `end`'s."""
+
+    def first(moment: Moment, up: bool) -> date | None:
+        if moment is None:
+            return None
+        when = datetime.fromisoformat(moment if isinstance(moment, str) else moment.isoformat())
+        month = datetime(when.year, when.month, 1, tzinfo=when.tzinfo)
+        if up and when > month:
+            month = month.replace(year=when.year + when.month // 12, month=when.month % 12 + 1)
+        return month.date()
+
+    return first(start, up=False), first(end, up=True)
+
+
 def store_transfers(moves: DataFrame, path: str, replace: str = "all") -> None:
     """Store transfers in one folder per month of `sent_at`.
 
-    With `replace="touched"` a run over some months leaves the others alone.
+    With `replace="touched"` the months that `moves` has rows for are replaced and
+    the others are left alone, so it must hold these months whole (`whole_months`).
     """
     by_month = moves.withColumn("month", F.date_format("sent_at", "yyyy-MM"))
     write_overview(by_month, path, ("month",), replace=replace)
@@ -84,23 +101,29 @@ def write_overview_tables(
     start: Moment = None,
     end: Moment = None,
     band_edges: tuple[str, str] = BAND_EDGES,
+    replace: str | None = None,
 ) -> list[str]:
     """Read the base tables in `source`, store every overview in `target`.
 
+    A run with `start` or `end` refreshes the whole months they touch and leaves
+    other stored months alone; with `replace="all"` only the window is stored.
     Returns the names of the stored tables.
     """
-    tables = read_tables(spark, source, (*TRANSFER_TABLES, "region"), check=True)
+    replace = replace or ("all" if start is None and end is None else "touched")
+    if replace == "touched":
+        start, end = whole_months(start, end)
+    tables = read_tables(spark, source, (*TRANSFER_TABLES, "region"))
     nation, region = tables["nation"], tables["region"]
     target = target.rstrip("/")
     selected = ops.transfers_filtered(ops.transfers(tables), start, end)
-    store_transfers(selected, f"{target}/transfers")
+    store_transfers(selected, f"{target}/transfers", replace)
     moves = stored_transfers(spark, f"{target}/transfers")
     write_overview(ops.daily_cube(moves), f"{target}/daily_cube")
     cube = spark.read.parquet(f"{target}/daily_cube")
     overviews = {name: operator(cube) for name, operator in FROM_CUBE.items()}
     overviews |= {name: operator(moves) for name, operator in FROM_TRANSFERS.items()}
     overviews["region_subtotals"] = ops.region_subtotals(cube, nation, region)
-    overviews["path_matrix"] = ops.path_matrix(cube, place_names(nation))
+    overviews["path_counts"] = ops.path_counts(cube)
     overviews["size_bands"] = ops.size_bands(moves, band_edges)
     for name, overview in overviews.items():
         write_overview(overview, f"{target}/{name}")

@@ -63,11 +63,20 @@ def _flat(moves: DataFrame) -> DataFrame:
 
 
 def _read_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows and known values of every column of every table; each is scanned once."""
     tables = read_tables(spark, folder, SCHEMAS)
-    counts = [
-        df.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("n"))
-        for name, df in tables.items()
-    ]
+    counts = []
+    for name, df in tables.items():
+        whole = df.agg(
+            F.count(F.lit(1)).alias("n"), *(F.count(column).alias(column) for column in df.columns)
+        )
+        each = [
+            F.struct(F.lit(column).alias("column_name"), "n", F.col(column).alias("n_known"))
+            for column in df.columns
+        ]
+        counts.append(
+            whole.select(F.lit(name).alias("table_name"), F.inline(F.array(*each)))
+        )
     return reduce(DataFrame.unionByName, counts)
 
 
@@ -105,6 +114,14 @@ def _period_change(spark: SparkSession, folder: str) -> DataFrame:
     return changes.withColumn("diff_n", F.col("diff_n").cast("double"))
 
 
+def _approx_parties_bound(spark: SparkSession, folder: str) -> DataFrame:
+    """The exact number of parties, and whether the estimate is within 3 deviations of it."""
+    rsd = 0.05
+    found = ops.approx_parties(load_transfers(spark, folder), rsd, exact=True)
+    error = F.abs(F.col("approx_parties") - F.col("parties"))
+    return found.select("parties", (error <= 3 * rsd * F.col("parties")).alias("within_bound"))
+
+
 def _weekday_hour(spark: SparkSession, folder: str) -> DataFrame:
     return ops.weekday_hour(read_tables(spark, folder, ("events",))["events"])
 
@@ -127,9 +144,7 @@ def _sql_over_view(spark: SparkSession, folder: str) -> DataFrame:
         """
         select status, src, count(*) as n, cast(sum(amount) as double) as volume
         from transfers
-        where src < dst
         group by status, src
-        having count(*) > 1
         """
     )
 
@@ -189,6 +204,7 @@ QUERIES: dict[str, Query] = {
     "cohort_retention": _over_transfers(ops.cohort_retention),
     "latest_per_key": _latest_per_key,
     "weekday_hour": _weekday_hour,
+    "approx_parties_bound": _approx_parties_bound,
     "approx_parties": _over_transfers(ops.approx_parties),
     "live_daily": _live_daily,
     "live_daily_open": _live_daily_open,

@@ -8,16 +8,14 @@ from tidepath.operators import transfers
 from tidepath.sources import read_tables
 
 
-# Places become column names in the matrix, so their number is checked.
-MAX_PLACES = 1000
-
-
-def place_names(nation: DataFrame, limit: int = MAX_PLACES) -> list[str]:
-    """The nation names in order; refuses a table with more than `limit`."""
-    rows = nation.select("n_name").distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} places do not fit in one row")
-    return sorted(row.n_name for row in rows if row.n_name is not None)
+def place_names(nation: DataFrame) -> list[str]:
+    """The nation names in order, to be column names of the matrix.
+
+    Meant for a table of places that is as short as a row can be wide; for any
+    number of places use `path_counts`, which needs no list.
+    """
+    rows = nation.select("n_name").where("n_name is not null").distinct().collect()
+    return sorted(row.n_name for row in rows)
 
 
 def load_transfers(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -53,11 +52,11 @@ def build_session(
 def new_work_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder named by `spark.checkpoint.dir`.
 
-    Only a local master may do without the setting; it gets a temporary folder.
+    A local session without the setting works in a folder beside its warehouse.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        shared = tempfile.mkdtemp(prefix="tidepath-")
+        shared = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tidepath-work"
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"

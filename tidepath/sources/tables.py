@@ -83,13 +83,13 @@ def read_tables(
     spark: SparkSession,
     folder: str,
     names: Iterable[str] = TRANSFER_TABLES,
-    check: bool = False,
+    check: bool = True,
 ) -> dict[str, DataFrame]:
     """The named tables as lazy DataFrames with the fixed schema.
 
-    With `check`, one Parquet footer per table is read at once and compared with
-    the schema. Do so for files not seen before: it costs a small job per table,
-    and Spark reads a column that the files lack as all nulls.
+    One Parquet footer per table is read at once and compared with the schema, as
+    Spark reads a column that the files lack as all nulls. It costs a small job
+    per table; `check=False` leaves it out for files known to be right.
     """
     tables = {}
     for name in names:
