@@ -6,13 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepath.llm.common import read_table, remainder
+from tidepath.llm.common import read_table, remainder, stored
 from tidepath.llm.contamination import find_benchmark, item_digest
+from tidepath.llm.divergence import quality_measures
 from tidepath.llm.langid import predict_language
 from tidepath.llm.language_model import score_texts
 from tidepath.llm.lines import dedup_lines
 from tidepath.llm.mixing import mix_sources
+from tidepath.llm.oracle import ORACLE  # noqa: F401  registered by the entry
 from tidepath.llm.ordered_minhash import near_duplicates
+from tidepath.llm.repair import damaged, plan_repairs, repaired_digests
+from tidepath.llm.spelling import count_words, spelling_variants
 from tidepath.llm.substrings import remove_repeats
 from tidepath.llm.tokens import count_tokens
 from tidepath.llm.toxicity import score_toxicity
@@ -78,6 +82,41 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of all documents, some damaged on purpose, with the words they stand for.
+
+    Null texts have no words; a null id counts as the empty text in the damage; repeated
+    rows count as often as they are there. See `spelling_variants`.
+    """
+    docs = read_table(spark, folder, "documents")
+    return spelling_variants(count_words(docs, damage=31))
+
+
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation, damaged on purpose, with its faults and its cheapest repair.
+
+    A conversation without rows left has zeros, an empty audit and the hash of no text.
+    Nulls are one space, a null id is a conversation, ties go by role and digest of the
+    text. See `plan_repairs`.
+    """
+    rows = damaged(read_table(spark, folder, "conversations"))
+    plans = stored(plan_repairs(rows), "repair-plans")
+    digests = repaired_digests(rows, plans).select(
+        F.col("conv_id").alias("repaired"), F.col("sha256").alias("repaired_sha256")
+    )
+    return plans.join(digests, F.col("conv_id").eqNullSafe(F.col("repaired")), "left").drop("repaired")
+
+
+def op13_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its counts and the verdict by distance from its language.
+
+    See `quality_measures` for the rules, and for nulls, repeats and empty tables.
+    """
+    measures = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    found = quality_measures(read_table(spark, folder, "documents"))
+    return found.select("row.doc_id", *measures, "base_failed", "kept")
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_token_counts": op2_token_counts,
@@ -89,6 +128,7 @@ QUERIES = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_source_mix": op9_source_mix,
     "op10_decontamination": op10_decontamination,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_quality_rules": op13_quality_rules,
 }
-
-ORACLE: dict[str, str] = {}
