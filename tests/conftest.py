@@ -12,8 +12,6 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 from tidepath.session import build_session  # noqa: E402
 
-SMALL = "/root/testdata/sf0.001"
-
 TRANSFERS = T.StructType(
     [
         T.StructField(
@@ -75,20 +73,3 @@ def moves(spark):
         return spark.createDataFrame(full, TRANSFERS)
 
     return build
-
-
-def rows_of(df, *columns):
-    """The rows as sorted tuples; dates as text, decimals as float."""
-
-    def plain(value):
-        if isinstance(value, datetime):
-            return value.isoformat(" ", "seconds") if value.time() != datetime.min.time() else str(value.date())
-        return float(value) if isinstance(value, Decimal) else value
-
-    names = columns or df.columns
-    found = [tuple(plain(row[name]) for name in names) for row in df.collect()]
-    return sorted(found, key=lambda row: tuple((value is None, value) for value in row))
-
-
-def plan_of(df):
-    return df._jdf.queryExecution().toString()

@@ -3,7 +3,7 @@ from decimal import Decimal
 
 import numpy as np
 import pytest
-from conftest import rows_of
+from helpers import rows_of
 from pyspark.sql import functions as F
 
 from tidepath.operators import (

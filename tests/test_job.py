@@ -1,6 +1,6 @@
 from datetime import date, datetime
 
-from conftest import SMALL, plan_of, rows_of
+from helpers import SMALL, plan_of, rows_of
 
 from tidepath import operators as ops
 from tidepath.plans.overview_job import (

@@ -1,5 +1,5 @@
 import pytest
-from conftest import rows_of
+from helpers import rows_of
 
 from tidepath.operators import by_period, by_place, paths, top_paths_per_period, totals
 

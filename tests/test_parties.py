@@ -1,7 +1,7 @@
 from datetime import datetime
 
 import pytest
-from conftest import SMALL, plan_of, rows_of
+from helpers import SMALL, plan_of, rows_of
 
 from tidepath.operators import (
     approx_parties,

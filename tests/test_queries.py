@@ -5,7 +5,7 @@ from collections import Counter
 
 import duckdb
 import pytest
-from conftest import SMALL, plan_of, rows_of
+from helpers import SMALL, plan_of, rows_of
 
 import __spark_entry__ as contract
 from tidepath.operators import cumulative, daily_zero_filled, net_flow, paths, totals

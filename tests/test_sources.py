@@ -1,7 +1,7 @@
 from types import SimpleNamespace
 
 import pytest
-from conftest import SMALL, rows_of
+from helpers import SMALL, rows_of
 from pyspark.sql import functions as F
 
 from tidepath.operators import transfers

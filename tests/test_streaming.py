@@ -1,7 +1,7 @@
 from datetime import datetime, timedelta
 
 import pytest
-from conftest import SMALL, rows_of
+from helpers import SMALL, rows_of
 
 from tidepath.sources import read_tables
 from tidepath.sources.tables import SCHEMAS
