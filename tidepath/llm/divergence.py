@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidepath.llm.common import stored
 
 # Words of a reference histogram; all other words share one more cell.
-COMMON_WORDS = 32
+COMMON_WORDS = 16
 # A language with fewer words than this is compared with the whole corpus instead.
 LEAST_REFERENCE_WORDS = 2_000
 # Shorter documents say nothing about a distribution: the rule leaves them alone.
@@ -26,13 +26,14 @@ FEWEST_WORDS = 10
 MOST_REPEATED_PERCENT = 20
 WINDOW = 5
 
-# Character classes that are counted by pattern.
+# Character classes that are counted by pattern. Classes of single
+# characters, without ranges, are looked up in a table by the regex engine.
 SYMBOLS = "[#*$%&|<>]"
-UPPER = "[A-Z]"
-DIGITS = "[0-9]"
-MARKS = "[.,;:!?'\"()-]"
-BREAKS = "[\\x09-\\x0D]"
-BLANK = "[\\x20\\x09-\\x0D]"
+UPPER = "[ABCDEFGHIJKLMNOPQRSTUVWXYZ]"
+DIGITS = "[0123456789]"
+MARKS = "[.,;:!?'\"()\\-]"
+PLAIN = "[^#*$%&|<>ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789.,;:!?'\"()\\-]+"
+BREAKS = "[\\t\\n\\x0B\\f\\r]"
 CLASSES = 6
 
 
@@ -52,16 +53,20 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(spaced, " "), "")
 
 
-def char_classes(text: Column) -> list[Column]:
+def char_classes(text: Column, marked: Column, inner: Column) -> list[Column]:
     """Counts of a text's upper-case letters, digits, marks, symbols, other characters in
-    words, and the bytes that characters beyond ASCII take more than one."""
-    classes = [_removed(text, pattern) for pattern in (UPPER, DIGITS, MARKS, SYMBOLS)]
-    inner = F.length(text).cast("long") - _removed(text, BLANK)
-    return [
-        *classes,
-        inner - classes[0] - classes[1] - classes[2] - classes[3],
-        F.octet_length(text).cast("long") - F.length(text),
-    ]
+    words, and the bytes that characters beyond ASCII take more than one.
+
+    `marked` is the text without what is in none of the first four classes (`PLAIN`),
+    and `inner` how many characters are in words.
+    """
+    classes = [_removed(marked, pattern) for pattern in (UPPER, DIGITS, MARKS, SYMBOLS)]
+    rest = inner - F.length(marked)
+    return [*classes, rest.cast("long"), F.octet_length(text).cast("long") - F.length(text)]
+
+
+def _marked(text: Column) -> Column:
+    return F.regexp_replace(text, F.lit(PLAIN), F.lit(""))
 
 
 def repeated_words(words: Column) -> Column:
@@ -146,16 +151,12 @@ def language_references(docs: DataFrame, common: int = COMMON_WORDS) -> tuple[Da
 
     `ref_words` are its `common` most frequent words (ties by code point), `ref_counts`
     their counts with that of all other words at the end, `ref_chars` the sums of
-    `char_classes`. Texts below ten words are left out. Languages with fewer than
+    `char_classes`. Languages with fewer than
     `LEAST_REFERENCE_WORDS` words have no row. A null language is one like others.
     Words are summed in each task before the shuffle; the whole corpus is one row.
     """
-    known = docs.select(
-        F.col("lang").alias("ref_lang"), F.coalesce("text", F.lit("")).alias("text")
-    ).withColumn("words", words_of(F.col("text")))
-    known = known.where(F.size("words") >= FEWEST_WORDS)
     counted = stored(
-        known.select("ref_lang", F.explode("words").alias("word"))
+        docs.select(F.col("lang").alias("ref_lang"), F.explode(words_of(F.col("text"))).alias("word"))
         .groupBy("ref_lang", "word")
         .agg(F.count(F.lit(1)).alias("n")),
         "reference-words",
@@ -180,9 +181,10 @@ def language_references(docs: DataFrame, common: int = COMMON_WORDS) -> tuple[Da
         "ref_lang", "all_words", *shaped(F.col("top"), F.col("all_words"))
     )
     # Characters come from the counted words, each distinct word once.
-    classes = counted.select(
-        "ref_lang", *((F.col("n") * c).alias(f"c{i}") for i, c in enumerate(char_classes(F.col("word"))))
-    )
+    word = F.col("word")
+    marked = counted.withColumn("marked", _marked(word))
+    each = char_classes(word, F.col("marked"), F.length(word))
+    classes = marked.select("ref_lang", *((F.col("n") * c).alias(f"c{i}") for i, c in enumerate(each)))
     chars = stored(
         classes.groupBy(F.col("ref_lang").alias("char_lang")).agg(
             *(F.sum(f"c{i}").alias(f"c{i}") for i in range(CLASSES))
@@ -222,7 +224,7 @@ def quality_measures(docs: DataFrame) -> DataFrame:
     A null text has no words, so it fails. A null or unknown `lang` is a language like
     others; languages with little text use the reference of the whole corpus. Repeated
     rows, and any columns besides `text` and `lang`, make no difference. An empty table
-    gives an empty result. References hold 33 counts for each language; Spark sends
+    gives an empty result. References hold 17 counts for each language; Spark sends
     them to all tasks only where they are below its broadcast threshold.
     """
     references, corpus = language_references(docs)
@@ -236,21 +238,21 @@ def quality_measures(docs: DataFrame) -> DataFrame:
     }
     joined = joined.withColumns({name: F.coalesce(name, value) for name, value in whole.items()})
     words, body, n = F.col("words"), F.col("body"), F.col("n_words")
-    # Counted on their own first, so that what follows reads columns.
+    # Worked out on their own first, so that what follows reads columns.
     plain = joined.select(
         "row", "body", "words", "ref_words", "ref_counts", "ref_chars",
         F.size(words).cast("long").alias("n_words"),
-        *(c.alias(f"c{i}") for i, c in enumerate(char_classes(body))),
-    )
-    held = F.filter(
-        F.transform(words, lambda w: F.array_position("ref_words", w)), lambda place: place > 0
-    )
+        F.length(F.concat_ws("", words)).cast("long").alias("word_chars"),
+        _marked(body).alias("marked"),
+    ).withColumns({f"c{i}": c for i, c in enumerate(char_classes(body, F.col("marked"), F.col("word_chars")))})
+    none = F.lit(0).cast("long")
+    held = F.array_remove(F.transform(words, lambda w: F.array_position("ref_words", w)), none)
     counts = _let(
         held,
         lambda places: F.concat(
             F.transform(
                 "ref_words",
-                lambda w, i: F.size(F.filter(places, lambda p: p == i + 1)).cast("long"),
+                lambda w, i: (F.size(places) - F.size(F.array_remove(places, (i + 1).cast("long")))).cast("long"),
             ),
             F.array(n - F.size(places)),
         ),
@@ -258,7 +260,7 @@ def quality_measures(docs: DataFrame) -> DataFrame:
     measured = plain.select(
         "row",
         "n_words",
-        F.length(F.concat_ws("", words)).cast("long").alias("word_chars"),
+        "word_chars",
         F.col("c3").alias("n_symbols"),
         repeated_lines(body).alias("n_dup_lines"),
         repeated_words(words).alias("n_repeat_words"),

@@ -48,7 +48,7 @@ WITH d AS MATERIALIZED (
 ), n AS MATERIALIZED (SELECT *, len(words) AS n FROM m),
 each AS MATERIALIZED (SELECT rid, lang, n, unnest(words) AS word FROM n),
 counted AS MATERIALIZED (
-    SELECT lang, word, count(*) AS n FROM each WHERE n >= {rules.FEWEST_WORDS} GROUP BY lang, word
+    SELECT lang, word, count(*) AS n FROM each GROUP BY lang, word
 ), sized AS (
     SELECT lang, sum(n) AS n FROM counted GROUP BY lang HAVING sum(n) >= {rules.LEAST_REFERENCE_WORDS}
 ), named AS MATERIALIZED (
