@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,6 +26,8 @@ FARTHEST_WORDS = 0.2
 FEWEST_WORDS = 10
 MOST_REPEATED_PERCENT = 20
 WINDOW = 5
+# Up to so many words a window's place fits beside its hash; longer texts compare all as text.
+PLACE_BITS = 24
 
 # Character classes that are counted by pattern. Classes of single
 # characters, without ranges, are looked up in a table by the regex engine.
@@ -72,43 +75,57 @@ def _marked(text: Column) -> Column:
 def repeated_words(words: Column) -> Column:
     """How many words lie in a window of five words that the document holds twice or more.
 
-    Windows with different hashes are different, so most documents end there. The
-    others' windows are compared as text: sorted with their places, where each place
-    covers what the one before it left.
+    Windows with different hashes are different, so most documents end there. In the
+    others, hashes are sorted with their places in the low bits (`PLACE_BITS`), which
+    leaves the places that may be equal to a neighbour; those are compared as text, and
+    each that is repeated covers what the one before it left.
     """
-    starts = F.sequence(F.lit(1), F.size(words) - (WINDOW - 1))
-
-    def per_window(use) -> Column:
-        return F.when(F.size(words) >= WINDOW, F.transform(starts, use))
-
-    keys = per_window(lambda at: F.xxhash64(*(F.get(words, at + (i - 1)) for i in range(WINDOW))))
-    windows = per_window(lambda at: F.concat_ws(" ", F.slice(words, at, WINDOW)))
-
-    def places(seen: Column) -> Column:
-        ranked = F.sort_array(F.transform(seen, lambda w, at: F.struct(w.alias("w"), at.alias("at"))))
-        twice = _let(
-            ranked,
-            lambda r: F.filter(
-                r,
-                lambda x, i: F.coalesce(F.get(r, i - 1)["w"] == x["w"], F.lit(False))
-                | F.coalesce(F.get(r, i + 1)["w"] == x["w"], F.lit(False)),
-            ),
+    mask, low = F.lit(-(1 << PLACE_BITS)), F.lit((1 << PLACE_BITS) - 1)
+
+    def hashes(each: Column) -> Column:
+        """One for each word; the last four are of what is left, each another number of words."""
+        return F.transform(
+            each, lambda x, at: F.xxhash64(x, *(F.get(each, at + i) for i in range(1, WINDOW)))
         )
+
+    def beside(ranked: Column, same) -> Column:
+        """Those of a sorted array that are the same as the one before or behind."""
+        alike = lambda x, y: F.coalesce(same(x, y), F.lit(False))
+        return F.filter(
+            ranked, lambda x, i: alike(x, F.get(ranked, i - 1)) | alike(x, F.get(ranked, i + 1))
+        )
+
+    def candidates(keys: Column) -> Column:
+        placed = F.transform(keys, lambda k, i: k.bitwiseAND(mask).bitwiseOR((i + 1).cast("long")))
+        same = lambda x, y: x.bitwiseAND(mask) == y.bitwiseAND(mask)
+        near = _let(F.sort_array(placed), lambda ranked: beside(ranked, same))
+        found = F.transform(near, lambda x: x.bitwiseAND(low).cast("int"))
+        last = F.size(keys) - (WINDOW - 1)
+        whole = F.filter(found, lambda at: at <= last)
+        return F.when(F.size(keys) < (1 << PLACE_BITS), whole).otherwise(F.sequence(F.lit(1), last))
+
+    def places(keys: Column) -> Column:
+        texts = F.transform(
+            candidates(keys),
+            lambda at: F.struct(F.concat_ws(" ", F.slice(words, at, WINDOW)).alias("w"), at.alias("at")),
+        )
+        twice = _let(F.sort_array(texts), lambda ranked: beside(ranked, lambda x, y: x["w"] == y["w"]))
         return F.sort_array(F.transform(twice, lambda x: x["at"]))
 
-    def covered(seen: Column) -> Column:
+    def covered(keys: Column) -> Column:
         start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-WINDOW).alias("last"))
         step = lambda held, at: F.struct(
             (held["n"] + F.least(F.lit(WINDOW), at - held["last"])).alias("n"), at.alias("last")
         )
-        return F.aggregate(places(seen), start, step, lambda held: held["n"])
+        return F.aggregate(places(keys), start, step, lambda held: held["n"])
 
-    return _let(
+    none = F.lit(0).cast("long")
+    keys = _let(F.transform(words, lambda w: F.xxhash64(w)), hashes)
+    counted = _let(
         keys,
-        lambda seen: F.when(
-            F.size(F.array_distinct(seen)) < F.size(seen), _let(windows, covered)
-        ).otherwise(F.lit(0).cast("long")),
+        lambda held: F.when(F.size(F.array_distinct(held)) < F.size(held), covered(held)).otherwise(none),
     )
+    return F.when(F.size(words) >= WINDOW, counted).otherwise(none)
 
 
 def repeated_lines(text: Column) -> Column:
@@ -209,9 +226,11 @@ def language_references(docs: DataFrame, common: int = COMMON_WORDS) -> tuple[Da
     return stored(languages, "references"), corpus
 
 
-def quality_measures(docs: DataFrame) -> DataFrame:
+def quality_measures(docs: DataFrame, carry: Sequence[str] | None = None) -> DataFrame:
     """The rows of `docs` as struct `row`, with their measures and the verdict `kept`.
 
+    `row` has all columns, or those named by `carry`.
+
     Measures (long): `n_words`, `word_chars` (characters in words), `n_symbols`,
     `n_dup_lines`, `n_repeat_words`. `base_failed`: fewer than ten words, or over 20 %
     of them in repeated windows. `char_distance` and `word_distance` are the
@@ -228,15 +247,16 @@ def quality_measures(docs: DataFrame) -> DataFrame:
     them to all tasks only where they are below its broadcast threshold.
     """
     references, corpus = language_references(docs)
-    wide = docs.select(F.struct("*").alias("row"), F.coalesce("text", F.lit("")).alias("body"))
-    wide = wide.withColumn("words", words_of(F.col("body")))
-    joined = wide.join(references, F.col("row.lang").eqNullSafe(F.col("ref_lang")), "left")
+    row = F.struct("*") if carry is None else F.struct(*carry)
+    wide = docs.select(row.alias("row"), F.col("lang").alias("own_lang"), F.coalesce("text", F.lit("")).alias("body"))
+    joined = wide.join(references, F.col("own_lang").eqNullSafe(F.col("ref_lang")), "left")
     whole = {
         "ref_words": F.array(*map(F.lit, corpus["ref_words"])).cast("array<string>"),
         "ref_counts": F.array(*map(F.lit, corpus["ref_counts"])).cast("array<bigint>"),
         "ref_chars": F.array(*map(F.lit, corpus["ref_chars"])).cast("array<bigint>"),
     }
     joined = joined.withColumns({name: F.coalesce(name, value) for name, value in whole.items()})
+    joined = joined.withColumn("words", words_of(F.col("body")))
     words, body, n = F.col("words"), F.col("body"), F.col("n_words")
     # Worked out on their own first, so that what follows reads columns.
     plain = joined.select(

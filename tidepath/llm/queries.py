@@ -113,7 +113,7 @@ def op13_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     See `quality_measures` for the rules, and for nulls, repeats and empty tables.
     """
     measures = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    found = quality_measures(read_table(spark, folder, "documents"))
+    found = quality_measures(read_table(spark, folder, "documents"), carry=("doc_id",))
     return found.select("row.doc_id", *measures, "base_failed", "kept")
 
 
