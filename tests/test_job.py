@@ -56,3 +56,20 @@ def test_stored_months_are_pruned_and_replaced_alone(spark, tmp_path):
     store_transfers(march.limit(1), path, replace="touched")
     left = ops.totals(stored_transfers(spark, path)).first().n
     assert left == ops.totals(moves).first().n - march.count() + 1
+
+
+def test_a_refresh_empties_months_that_lost_their_transfers(spark, tmp_path):
+    path = str(tmp_path / "some transfers")
+    moves = load_transfers(spark, SMALL)
+    store_transfers(moves, path)
+    window = ("1998-02-01", "1998-05-01")
+    left = ops.transfers_filtered(moves, *window).where("month(sent_at) <> 3")
+    store_transfers(left, path, "touched", *window)
+    rest = moves.where("sent_at < '1998-03-01' or sent_at >= '1998-04-01'")
+    assert rows_of(ops.totals(stored_transfers(spark, path))) == rows_of(ops.totals(rest))
+    # Nothing left in the window at all, and a target that does not exist yet.
+    store_transfers(left.limit(0), path, "touched", *window)
+    rest = moves.where("sent_at < '1998-02-01' or sent_at >= '1998-05-01'")
+    assert rows_of(ops.totals(stored_transfers(spark, path))) == rows_of(ops.totals(rest))
+    store_transfers(left, str(tmp_path / "new"), "touched", *window)
+    assert spark.read.parquet(str(tmp_path / "new")).count() == left.count()

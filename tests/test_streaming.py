@@ -121,3 +121,14 @@ def test_other_time_zones_are_refused(spark, feed):
             read_event_stream(spark, feed.source)
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_latest_result_stays_small_over_many_batches(spark, tmp_path):
+    feed = Feed(spark, tmp_path)
+    for number in range(9):
+        feed.send((number, 30 * number, 1))
+        found = feed.run(live_daily, sink=keep_latest)
+        assert sum(row.n for row in found.collect()) == number + 1
+        folders = {p.name for p in (tmp_path / "out").iterdir() if p.name.startswith("slot=")}
+        assert folders <= {"slot=0", "slot=1", "slot=2"}
+    assert found.count() == len({30 * number // 24 for number in range(9)})

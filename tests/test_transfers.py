@@ -128,6 +128,8 @@ def test_a_hot_order_is_split_over_tasks(spark, tmp_path):
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k",
         "spark.sql.shuffle.partitions": "16",
+        # Else whichever side is ready first may be broadcast, being small here.
+        "spark.sql.autoBroadcastJoinThreshold": "20k",
     }
     tables = base_tables(spark, [])
     for name in ("nation", "supplier", "customer"):

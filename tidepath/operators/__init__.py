@@ -32,16 +32,20 @@ from tidepath.operators.series import (
     rank_places,
     rolling_7d,
 )
+from tidepath.operators.sketches import daily_sketches, sketched_parties, sketched_quantiles
+from tidepath.operators.timejoins import asof_join, points_in_intervals, sessions
 from tidepath.operators.transfers import daily_cube, transfers, transfers_filtered
 
 __all__ = [
     "amount_quantiles",
     "approx_parties",
+    "asof_join",
     "by_period",
     "by_place",
     "cohort_retention",
     "cumulative",
     "daily_cube",
+    "daily_sketches",
     "daily_zero_filled",
     "latest_per_key",
     "net_flow",
@@ -51,10 +55,14 @@ __all__ = [
     "path_matrix",
     "paths",
     "period_change",
+    "points_in_intervals",
     "rank_places",
     "region_subtotals",
     "rolling_7d",
+    "sessions",
     "size_bands",
+    "sketched_parties",
+    "sketched_quantiles",
     "status_by_month",
     "top_parties",
     "top_paths_per_period",

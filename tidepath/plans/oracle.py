@@ -306,6 +306,56 @@ ORACLE: dict[str, str] = {
                count(*) AS n
         FROM events GROUP BY 1, 2
         """,
+    "asof_clicks": """
+        SELECT p.event_id, p.user_id, p.ts, CAST(c.event_id AS DOUBLE) AS click_id,
+               c.ts AS clicked_at
+        FROM (SELECT * FROM events WHERE event_type = 'purchase') AS p
+        ASOF LEFT JOIN (
+            SELECT user_id, ts, max(event_id) AS event_id FROM events
+            WHERE event_type = 'click' GROUP BY user_id, ts
+        ) AS c ON p.user_id = c.user_id AND p.ts >= c.ts
+        """,
+    "asof_orders": """
+        SELECT e.event_id, e.user_id, e.ts, CAST(o.order_key AS DOUBLE) AS order_key, o.ordered_at
+        FROM events AS e
+        ASOF LEFT JOIN (
+            SELECT o_custkey, o_orderdate AS ordered_at, max(o_orderkey) AS order_key
+            FROM orders GROUP BY o_custkey, o_orderdate
+        ) AS o ON e.user_id = o.o_custkey AND e.ts > o.ordered_at
+        """,
+    "events_in_sessions": """
+        WITH marked AS (
+            SELECT user_id, ts,
+                   CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts)
+                                   + INTERVAL 6 HOUR
+                        THEN 0 ELSE 1 END AS starts
+            FROM events WHERE event_type = 'purchase'
+        ), numbered AS (
+            SELECT user_id, ts, sum(starts) OVER (
+                PARTITION BY user_id ORDER BY ts
+                RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS session
+            FROM marked
+        ), bursts AS (
+            SELECT user_id AS session_user, min(ts) AS session_start,
+                   max(ts) + INTERVAL 6 HOUR AS session_end, count(*) AS n_session
+            FROM numbered GROUP BY user_id, session
+        )
+        SELECT session_user, session_start, session_end, n_session, count(*) AS n_inside,
+               CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS value_inside
+        FROM bursts
+        JOIN events ON user_id = session_user AND ts >= session_start AND ts < session_end
+        GROUP BY ALL
+        """,
+    "sketched_parties": _with(
+        """
+        SELECT CAST(date_trunc('month', sent_at) AS TIMESTAMP) AS period,
+               count(DISTINCT party) AS parties, TRUE AS within_bound
+        FROM transfers GROUP BY 1
+        """
+    ),
+    "sketched_quantiles": _with(
+        "SELECT src, count(amount) AS n, TRUE AS within_bound FROM transfers GROUP BY src"
+    ),
     "live_daily": f"""
         SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, count(*) AS n
         FROM events GROUP BY 1

@@ -72,14 +72,40 @@ def whole_months(start: Moment, end: Moment) -> tuple[date | None, date | None]:
     return first(start, up=False), first(end, up=True)
 
 
-def store_transfers(moves: DataFrame, path: str, replace: str = "all") -> None:
+def _month_files(spark: SparkSession, path: str, start: Moment, end: Moment) -> set[str]:
+    """Files of the stored months that the window touches; none if nothing is stored."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return set()
+    stored = spark.read.schema("month string").parquet(path)
+    if start is not None:
+        stored = stored.where(F.col("month") >= F.date_format(as_moment(start), "yyyy-MM"))
+    if end is not None:
+        stored = stored.where(F.col("month") < F.date_format(as_moment(end), "yyyy-MM"))
+    names = stored.select(F.input_file_name().alias("file")).distinct()
+    return {row.file for row in names.collect()}
+
+
+def store_transfers(
+    moves: DataFrame, path: str, replace: str = "all", start: Moment = None, end: Moment = None
+) -> None:
     """Store transfers in one folder per month of `sent_at`.
 
     With `replace="touched"` the months that `moves` has rows for are replaced and
     the others are left alone, so it must hold these months whole (`whole_months`).
+    If the window `start` to `end` is given, months in it that `moves` has no rows for
+    any more are taken out as well: those whose files the write has not replaced.
     """
+    spark = moves.sparkSession
     by_month = moves.withColumn("month", F.date_format("sent_at", "yyyy-MM"))
+    windowed = replace == "touched" and not (start is None and end is None)
+    before = _month_files(spark, path, start, end) if windowed else set()
     write_overview(by_month, path, ("month",), replace=replace)
+    stale = before & _month_files(spark, path, start, end) if windowed else set()
+    hadoop = spark._jsc.hadoopConfiguration()
+    for folder in {file.rsplit("/", 1)[0] for file in stale}:
+        month = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(folder))
+        month.getFileSystem(hadoop).delete(month, True)
 
 
 def stored_transfers(
@@ -116,10 +142,12 @@ def write_overview_tables(
     nation, region = tables["nation"], tables["region"]
     target = target.rstrip("/")
     selected = ops.transfers_filtered(ops.transfers(tables), start, end)
-    store_transfers(selected, f"{target}/transfers", replace)
+    store_transfers(selected, f"{target}/transfers", replace, start, end)
     moves = stored_transfers(spark, f"{target}/transfers")
     write_overview(ops.daily_cube(moves), f"{target}/daily_cube")
     cube = spark.read.parquet(f"{target}/daily_cube")
+    # Distinct parties and quantiles of any days and places, without the transfers.
+    write_overview(ops.daily_sketches(moves), f"{target}/daily_sketches")
     overviews = {name: operator(cube) for name, operator in FROM_CUBE.items()}
     overviews |= {name: operator(moves) for name, operator in FROM_TRANSFERS.items()}
     overviews["region_subtotals"] = ops.region_subtotals(cube, nation, region)
@@ -127,7 +155,7 @@ def write_overview_tables(
     overviews["size_bands"] = ops.size_bands(moves, band_edges)
     for name, overview in overviews.items():
         write_overview(overview, f"{target}/{name}")
-    return ["transfers", "daily_cube", *overviews]
+    return ["transfers", "daily_cube", "daily_sketches", *overviews]
 
 
 if __name__ == "__main__":

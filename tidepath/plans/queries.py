@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidepath import operators as ops
+from tidepath.functions.periods import period_start
+from tidepath.operators.sketches import relative_error
 from tidepath.plans.views import load_transfers, place_names, register_transfers
 from tidepath.session import new_work_path
 from tidepath.sources import SCHEMAS, read_tables, write_overview
@@ -122,6 +124,90 @@ def _approx_parties_bound(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("parties", (error <= 3 * rsd * F.col("parties")).alias("within_bound"))
 
 
+def _asof_clicks(spark: SparkSession, folder: str) -> DataFrame:
+    """Every purchase, with the same user's last click at or before it."""
+    events = read_tables(spark, folder, ("events",))["events"]
+    purchases = events.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    clicks = events.where("event_type = 'click'")
+    found = ops.asof_join(
+        purchases,
+        clicks,
+        {"user_id": "user_id"},
+        "ts",
+        "ts",
+        {"click_id": "event_id", "clicked_at": "ts"},
+        order=("event_id",),
+    )
+    return found.withColumn("click_id", F.col("click_id").cast("double"))
+
+
+def _asof_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """Every event, with the last order its user made before it."""
+    tables = read_tables(spark, folder, ("events", "orders"))
+    found = ops.asof_join(
+        tables["events"].select("event_id", "user_id", "ts"),
+        tables["orders"],
+        {"user_id": "o_custkey"},
+        "ts",
+        "o_orderdate",
+        {"order_key": "o_orderkey", "ordered_at": "o_orderdate"},
+        order=("o_orderkey",),
+        strict=True,
+        unit="month",
+    )
+    return found.withColumn("order_key", F.col("order_key").cast("double"))
+
+
+def _events_in_sessions(spark: SparkSession, folder: str) -> DataFrame:
+    """Bursts of a user's purchases, with all that the user did in each."""
+    events = read_tables(spark, folder, ("events",))["events"]
+    bursts = ops.sessions(events.where("event_type = 'purchase'"))
+    inside = ops.points_in_intervals(
+        events, bursts, "ts", "session_start", "session_end", [("user_id", "session_user")]
+    )
+    return _plain(
+        inside.groupBy("session_user", "session_start", "session_end", "n_session").agg(
+            F.count(F.lit(1)).alias("n_inside"),
+            F.sum(F.col("value").cast("decimal(18,2)")).alias("value_inside"),
+        )
+    )
+
+
+def _stored_sketches(moves: DataFrame) -> DataFrame:
+    sketches = ops.daily_sketches(moves)
+    path = new_work_path(moves.sparkSession, "sketches")
+    write_overview(sketches, path)
+    return moves.sparkSession.read.schema(sketches.schema).parquet(path)
+
+
+def _sketched_parties(spark: SparkSession, folder: str) -> DataFrame:
+    """Parties by month, and whether the united daily sketches are within 4 deviations of it."""
+    moves = load_transfers(spark, folder)
+    month = period_start(F.col("sent_at"), "month").alias("period")
+    guess = ops.sketched_parties(_stored_sketches(moves), month)
+    exact = moves.groupBy(month).agg(F.countDistinct("party").alias("parties"))
+    off = F.abs(F.col("approx_parties") - F.col("parties"))
+    bound = 4 * relative_error() * F.col("parties") + 1
+    return exact.join(guess, "period").select("period", "parties", (off <= bound).alias("within_bound"))
+
+
+def _sketched_quantiles(spark: SparkSession, folder: str) -> DataFrame:
+    """Amounts by source, and whether the sketched quantiles lie within 2 % of their ranks."""
+    moves = load_transfers(spark, folder)
+    probs, slack = (0.05, 0.5, 0.95), 0.02
+    guess = ops.sketched_quantiles(_stored_sketches(moves), probs, "src")
+    amount = F.col("amount").cast("double")
+    ranked = moves.join(guess, "src").groupBy("src").agg(
+        F.count("amount").alias("n"),
+        *(
+            ((F.count_if(amount < F.col("quantiles")[i]) / F.count("amount") <= p + slack)
+             & (F.count_if(amount <= F.col("quantiles")[i]) / F.count("amount") >= p - slack)).alias(f"ok{i}")
+            for i, p in enumerate(probs)
+        ),
+    )
+    return ranked.select("src", "n", (F.col("ok0") & F.col("ok1") & F.col("ok2")).alias("within_bound"))
+
+
 def _weekday_hour(spark: SparkSession, folder: str) -> DataFrame:
     return ops.weekday_hour(read_tables(spark, folder, ("events",))["events"])
 
@@ -204,6 +290,11 @@ QUERIES: dict[str, Query] = {
     "cohort_retention": _over_transfers(ops.cohort_retention),
     "latest_per_key": _latest_per_key,
     "weekday_hour": _weekday_hour,
+    "asof_clicks": _asof_clicks,
+    "asof_orders": _asof_orders,
+    "events_in_sessions": _events_in_sessions,
+    "sketched_parties": _sketched_parties,
+    "sketched_quantiles": _sketched_quantiles,
     "approx_parties_bound": _approx_parties_bound,
     "approx_parties": _over_transfers(ops.approx_parties),
     "live_daily": _live_daily,

@@ -55,24 +55,28 @@ def keep_latest(
 ) -> DataFrame:
     """Store the whole current result of an aggregation after each batch.
 
-    Unlike `append_to_files` this also shows groups that are still open.
-    Each batch has its own folder, so a batch run twice replaces only itself.
+    Unlike `append_to_files` this also shows groups that are still open. Two folders
+    are written in turn, so that only the last two results are kept however many
+    batches there are, and the newest whole one stays readable while the next is
+    written. A batch run twice replaces only itself.
     """
     spark = stream.sparkSession
     path = path or new_work_path(spark, "stream")
     checkpoint = checkpoint or new_work_path(spark, "stream-checkpoint")
 
-    def store(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+    def store(batch: DataFrame, number: int, slot: int | None = None) -> None:
+        marked = batch.withColumn("batch", F.lit(number).cast("long"))
+        marked.write.mode("overwrite").parquet(f"{path}/slot={number % 2 if slot is None else slot}")
 
-    store(spark.createDataFrame([], stream.schema), -1)
+    # Holds no rows; there is something to read even if the source has nothing.
+    store(spark.createDataFrame([], stream.schema), -1, slot=2)
     writer = (
         stream.writeStream.outputMode("complete")
         .option("checkpointLocation", checkpoint)
         .foreachBatch(store)
     )
     _run(writer, spark)
-    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
-    stored = spark.read.schema(schema).parquet(path)
+    extra = [T.StructField("batch", T.LongType()), T.StructField("slot", T.IntegerType())]
+    stored = spark.read.schema(T.StructType([*stream.schema.fields, *extra])).parquet(path)
     newest = stored.agg(F.max("batch")).first()[0]
-    return stored.where(F.col("batch") == (-1 if newest is None else newest)).drop("batch")
+    return stored.where(F.col("batch") == (-1 if newest is None else newest)).drop("batch", "slot")
