@@ -18,7 +18,7 @@ RANGES = 4096
 
 def n_words(text: Column) -> Column:
     """Number of runs of other characters than white space; null has none."""
-    trimmed = F.regexp_replace(text, f"^{SPACE}|{SPACE}$", "")
+    trimmed = F.regexp_replace(text, f"^{SPACE}|{SPACE}\\z", "")
     return F.when(F.coalesce(trimmed, F.lit("")) == "", F.lit(0)).otherwise(
         F.size(F.split(trimmed, SPACE))
     ).cast("long")
