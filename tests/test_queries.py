@@ -14,7 +14,8 @@ from tidepath.plans.queries import QUERIES
 from tidepath.plans.views import load_transfers
 from tidepath.sources.tables import SCHEMAS
 
-BATCH = sorted(set(QUERIES) - {"live_daily", "live_daily_open", "stream_dedupe", "user_sessions"})
+STREAMS = {"live_daily", "live_daily_open", "stream_dedupe", "user_sessions", "live_sessions", "clicks_before_purchases"}
+BATCH = sorted(set(QUERIES) - STREAMS)
 
 
 @pytest.fixture(scope="module")

@@ -7,9 +7,12 @@ from tidepath.sources import read_tables
 from tidepath.sources.tables import SCHEMAS
 from tidepath.streaming import (
     append_to_files,
+    interval_join,
     keep_latest,
+    keep_sessions,
     live_daily,
     read_event_stream,
+    session_changes,
     stream_dedupe,
     user_sessions,
 )
@@ -132,3 +135,151 @@ def test_latest_result_stays_small_over_many_batches(spark, tmp_path):
         folders = {p.name for p in (tmp_path / "out").iterdir() if p.name.startswith("slot=")}
         assert folders <= {"slot=0", "slot=1", "slot=2"}
     assert found.count() == len({30 * number // 24 for number in range(9)})
+
+
+def seen_sessions(feed):
+    found = feed.run(session_changes, sink=keep_sessions)
+    return [
+        (user, (start - START).total_seconds() / 3600, (end - START).total_seconds() / 3600, n, closed)
+        for user, start, end, n, closed in sorted(
+            map(tuple, found.collect()), key=lambda row: (row[0] is None, row[0] or 0, row[1])
+        )
+    ]
+
+
+def test_open_sessions_grow_merge_and_close(feed):
+    feed.send((1, 0, 1), (2, 13, 1), (3, 3, 2), (4, 2, None), (5, 4, None))
+    assert seen_sessions(feed) == [
+        (1, 0, 6, 1, True),
+        (1, 13, 19, 1, False),
+        (2, 3, 9, 1, True),
+        (None, 2, 10, 2, True),
+    ]
+    # Joins the open session, which so starts earlier; another one begins after it.
+    feed.send((6, 12, 1), (7, 26, 1))
+    assert seen_sessions(feed)[:3] == [(1, 0, 6, 1, True), (1, 12, 19, 2, True), (1, 26, 32, 1, False)]
+    # Its own session would have ended before the watermark, which is at 25: late.
+    feed.send((8, 18.5, 1), (9, 26.5, 2))
+    feed.send((10, 20.5, 2), (11, 32.5, 2))
+    assert seen_sessions(feed) == [
+        (1, 0, 6, 1, True),
+        (1, 12, 19, 2, True),
+        (1, 26, 32, 1, False),
+        (2, 3, 9, 1, True),
+        (2, 20.5, 38.5, 3, False),
+        (None, 2, 10, 2, True),
+    ]
+    assert len(seen_sessions(feed)) == 6  # nothing new: the same again
+
+
+def test_a_session_between_two_merges_them(feed):
+    feed.send((1, 0, 1), (2, 6.5, 1))
+    assert seen_sessions(feed) == [(1, 0, 6, 1, False), (1, 6.5, 12.5, 1, False)]
+    feed.send((3, 3, 1), (4, 3, 1), (5, 0, 1))
+    assert seen_sessions(feed) == [(1, 0, 12.5, 5, False)]
+
+
+def test_sessions_over_many_batches_cover_every_event(spark, feed):
+    import random
+
+    rng = random.Random(3)
+    sent, last = [], {}
+    for batch in range(6):
+        # All within the hour that events may be late, so none is left out.
+        events = [(batch * 50 + i, batch * 4 + rng.random(), rng.randrange(4)) for i in range(12)]
+        feed.send(*events)
+        sent += events
+        found = seen_sessions(feed)
+        assert sum(n for *_, n, _ in found) == len(sent)
+    for _, hours, user in sorted(sent, key=lambda e: e[1]):
+        runs = last.setdefault(user, [])
+        if runs and hours - runs[-1][1] <= 6:
+            runs[-1][1] = hours
+            runs[-1][2] += 1
+        else:
+            runs.append([hours, hours, 1])
+    expected = sorted((u, round(a, 4), round(b + 6, 4), n) for u, r in last.items() for a, b, n in r)
+    assert [(u, round(a, 4), round(b, 4), n) for u, a, b, n, _ in found] == expected
+    open_folders = {p.name for p in (feed.folder / "out" / "open").iterdir()}
+    assert open_folders <= {"slot=0", "slot=1", "slot=none"}
+
+
+def test_a_busy_user_is_merged_before_the_shuffle(feed):
+    feed.send(*[(number, number / 1000, 1) for number in range(3000)], (3001, 0.5, 2))
+    assert [row[3] for row in seen_sessions(feed)] == [3000, 1]
+
+
+def test_no_sessions_of_nothing(feed):
+    feed.send()
+    assert seen_sessions(feed) == []
+
+
+def paired(spark, folder, how, within="2 hours"):
+    def stream(name, prefix):
+        events = read_event_stream(spark, str(folder / name))
+        return events.select(
+            *(events[c].alias(f"{prefix}_{c}") for c in ("event_id", "user_id", "t"))
+        )
+
+    joined = interval_join(
+        stream("buys", "b"), stream("clicks", "c"), [("b_user_id", "c_user_id")], "b_t", "c_t", within, how=how
+    )
+    out = append_to_files(
+        joined.select("b_event_id", "c_event_id"), str(folder / f"out-{how}"), str(folder / f"state-{how}")
+    )
+    return rows_of(out)
+
+
+@pytest.fixture
+def send(spark, tmp_path):
+    def write(name, *events):
+        feed = Feed(spark, tmp_path)
+        feed.source = str(tmp_path / name)
+        feed.send(*events)
+
+    return write
+
+
+def test_pairs_of_two_streams_replayed_late(spark, tmp_path, send):
+    clicks = [(1, 0, 1), (2, 1, 1), (3, 1, 2), (4, 3, 1), (5, 2.9, 1), (6, 3.5, None)]
+    buys = [(11, 2, 1), (12, 3, 1), (13, 1, 2), (14, 5.2, 1), (15, 3.6, None)]
+    for number in range(3):  # clicks and purchases come in pieces, the later ones first
+        send("clicks", *clicks[::-1][number::3])
+        send("buys", *buys[::-1][number::3])
+    expected = sorted(
+        (b, c) for b, tb, ub in buys for c, tc, uc in clicks
+        if ub == uc and ub is not None and 0 <= tb - tc <= 2
+    )
+    assert paired(spark, tmp_path, "inner") == expected
+    # Purchases without a click are told once no click can come any more.
+    send("clicks", (90, 50, 9))
+    send("buys", (91, 50, 9))
+    kept = [pair for pair in paired(spark, tmp_path, "left") if pair[0] < 90]
+    alone = [(b, None) for b, *_ in buys if b not in {pair[0] for pair in expected}]
+    assert kept == sorted(expected + alone, key=lambda p: (p[0], p[1] is None, p[1] or 0))
+
+
+def test_pairs_across_restarts_and_state_that_ends(spark, tmp_path, send):
+    send("clicks", (1, 0, 1), (2, 0.5, 1))
+    send("buys", (11, 1, 1))
+    assert paired(spark, tmp_path, "inner") == [(11, 1), (11, 2)]
+    send("buys", (12, 2.25, 1))
+    send("clicks", (3, 1.5, 1))
+    assert paired(spark, tmp_path, "inner") == [(11, 1), (11, 2), (12, 2), (12, 3)]
+    send("clicks", (4, 30, 1))
+    send("buys", (13, 30, 1))
+    found = paired(spark, tmp_path, "inner")
+    assert found[-1] == (13, 4)
+    # Now far past the watermark: dropped as late.
+    send("buys", (14, 1, 1))
+    send("clicks", (5, 1, 1))
+    assert paired(spark, tmp_path, "inner") == found
+
+
+def test_joined_streams_need_names_of_their_own(spark, tmp_path, send):
+    send("buys", (1, 0, 1))
+    events = read_event_stream(spark, str(tmp_path / "buys"))
+    with pytest.raises(ValueError, match="rename"):
+        interval_join(events, events, [("user_id", "user_id")], "t", "t", "1 hour")
+    with pytest.raises(ValueError, match="inner or left"):
+        interval_join(events, events.toDF(*(f"o_{c}" for c in events.columns)), [], "t", "o_t", "1 hour", how="full")

@@ -384,4 +384,30 @@ ORACLE: dict[str, str] = {
         FROM numbered GROUP BY user_id, session
         HAVING max(ts) + INTERVAL 6 HOUR <= {_LAST_EVENT} - INTERVAL 1 HOUR
         """,
+    "live_sessions": f"""
+        WITH marked AS (
+            SELECT user_id, ts,
+                   CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts)
+                                   + INTERVAL 6 HOUR
+                        THEN 0 ELSE 1 END AS starts
+            FROM events WHERE ts IS NOT NULL
+        ), numbered AS (
+            SELECT user_id, ts, sum(starts) OVER (
+                PARTITION BY user_id ORDER BY ts
+                RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS session
+            FROM marked
+        )
+        SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 6 HOUR AS session_end,
+               count(*) AS n,
+               max(ts) + INTERVAL 6 HOUR <= {_LAST_EVENT} - INTERVAL 1 HOUR AS closed
+        FROM numbered GROUP BY user_id, session
+        """,
+    "clicks_before_purchases": """
+        SELECT p.event_id, p.user_id, p.ts AS bought_at, c.event_id AS click_id,
+               c.ts AS clicked_at
+        FROM events AS p
+        JOIN events AS c ON p.user_id = c.user_id AND c.ts <= p.ts
+                        AND c.ts >= p.ts - INTERVAL 6 HOUR
+        WHERE p.event_type = 'purchase' AND c.event_type = 'click'
+        """,
 }

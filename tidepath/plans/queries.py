@@ -18,9 +18,12 @@ from tidepath.sources import SCHEMAS, read_tables, write_overview
 from tidepath.sources.tables import TRANSFER_TABLES, table_path
 from tidepath.streaming import (
     append_to_files,
+    interval_join,
     keep_latest,
+    keep_sessions,
     live_daily,
     read_event_stream,
+    session_changes,
     stream_dedupe,
     user_sessions,
 )
@@ -258,6 +261,29 @@ def _user_sessions(spark: SparkSession, folder: str) -> DataFrame:
     return append_to_files(user_sessions(_events(spark, folder)))
 
 
+def _live_sessions(spark: SparkSession, folder: str) -> DataFrame:
+    """Every session, open ones included."""
+    return keep_sessions(session_changes(_events(spark, folder)))
+
+
+def _clicks_before_purchases(spark: SparkSession, folder: str) -> DataFrame:
+    """Purchases with each click of the same user in the 6 hours before, from two streams."""
+    purchases = _events(spark, folder).where("event_type = 'purchase'")
+    clicks = _events(spark, folder).where("event_type = 'click'")
+    pairs = interval_join(
+        purchases.select("event_id", "user_id", F.col("t").alias("bought_t"), F.col("ts").alias("bought_at")),
+        clicks.select(
+            F.col("event_id").alias("click_id"), F.col("user_id").alias("click_user"),
+            F.col("t").alias("clicked_t"), F.col("ts").alias("clicked_at"),
+        ),
+        [("user_id", "click_user")],
+        "bought_t",
+        "clicked_t",
+        "6 hours",
+    )
+    return append_to_files(pairs.drop("bought_t", "clicked_t", "click_user"))
+
+
 QUERIES: dict[str, Query] = {
     "read_tables": _read_tables,
     "transfers": _transfers,
@@ -301,4 +327,6 @@ QUERIES: dict[str, Query] = {
     "live_daily_open": _live_daily_open,
     "stream_dedupe": _stream_dedupe,
     "user_sessions": _user_sessions,
+    "live_sessions": _live_sessions,
+    "clicks_before_purchases": _clicks_before_purchases,
 }

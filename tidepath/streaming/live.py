@@ -44,14 +44,14 @@ def stream_dedupe(
     stream: DataFrame,
     keys: Sequence[str] = ("event_id",),
     delay: str = "1 hour",
-    splits: int = 16,
+    splits: int = 1,
 ) -> DataFrame:
     """Drop events re-sent within `delay` of their first arrival.
 
-    Copies are dropped in two steps: first among the copies read by one of
-    `splits` groups of tasks, then among the at most `splits` that are left. An
-    event sent very many times is so spread over several tasks. With `splits=1`
-    there is one step, and half the state.
+    By default there is one step and one state. Where an event can be sent very many
+    times, set `splits` to about the number of cores: copies are then dropped first among
+    those read by one of `splits` groups of tasks, and then among the at most `splits`
+    that are left. That spreads such an event over several tasks, for twice the state.
     """
     marked = stream.withWatermark("t", delay)
     if splits > 1:
