@@ -201,6 +201,28 @@ def test_lines(documents):
     assert dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_lines_with_other_ids_clashing_names_and_many_lines(documents, spark):
+    rows = [("b", "one\ntwo"), ("a", "two"), (None, "one\nnew"), (None, "new\nown"), ("z", "one")]
+    names = "doc_id string, text string, line string, at string, h string, mask string, kept string, n_removed string"
+    docs = spark.createDataFrame([(*row, "l", "a", "h", "m", "k", "n") for row in rows], names)
+    found = dedup_lines(docs)
+    assert found.columns == ["doc_id", "text", "line", "at", "h", "mask", "kept", "n_lines", "n_removed"]
+    kept = sorted((row.doc_id or "", row.text, row.line, row.kept, row.n_removed) for row in found.collect())
+    # Rows without an id are one last document: what only they have stays in both.
+    assert kept == [
+        ("", "new", "l", "k", 1),
+        ("", "new\nown", "l", "k", 0),
+        ("a", "two", "l", "k", 0),
+        ("b", "one", "l", "k", 1),
+        ("z", "", "l", "k", 1),
+    ]
+    many = [f"line {i * 7}" if i % 3 else "" for i in range(20_000)]
+    found = by_id(dedup_lines(documents((1, "\n".join(many[::2])), (2, "\n".join(many)))).select("doc_id", "text"), "text")
+    assert found[1] == [("\n".join(many[::2]),)]
+    first = {line for line in many[::2] if line}
+    assert found[2] == [("\n".join(line for line in many if line not in first),)]
+
+
 def test_near_lines_against_brute_force(documents):
     rng = random.Random(8)
     lines = []

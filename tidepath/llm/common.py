@@ -33,6 +33,17 @@ def remainder(column: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % modulus
 
 
+def id_order(df: DataFrame, column: str) -> Column:
+    """A value that sorts rows by id with nulls last, and is never null.
+
+    Whole numbers stay longs, which are cheap to move and to compare; there the largest
+    long and null are one. Ids of other types come as a pair.
+    """
+    if df.schema[column].dataType.typeName() in ("byte", "short", "integer", "long"):
+        return F.coalesce(F.col(column).cast("long"), F.lit(2**63 - 1))
+    return F.struct(F.col(column).isNull().alias("missing"), F.col(column).alias("id"))
+
+
 def slices(batch: pa.RecordBatch, text: int, limit: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows with about `limit` bytes of text each.
 
