@@ -123,4 +123,69 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 FROM judged
 """
 
-ORACLE: dict[str, str] = {"op13_quality_rules": QUALITY}
+REPEATS = rf"""
+WITH d AS MATERIALIZED (
+    SELECT row_number() OVER () AS rid, doc_id, coalesce(doc_id, 9223372036854775807) AS turn,
+           regexp_extract_all(coalesce(text, ''), '[^{_SPACES}]+') AS words
+    FROM documents
+), windows AS MATERIALIZED (
+    SELECT rid, turn, place, array_to_string(words[place : place + 12], ' ') AS passage
+    FROM (SELECT rid, turn, words, unnest(range(1, len(words) - 11)) AS place FROM d)
+), firsts AS (
+    SELECT passage, min(turn) AS first_turn FROM windows GROUP BY passage
+), covered AS MATERIALIZED (
+    SELECT DISTINCT rid, unnest(range(place, place + 13)) AS place
+    FROM windows JOIN firsts USING (passage) WHERE turn > first_turn
+), each AS (
+    SELECT rid, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS place FROM d
+), kept AS (
+    SELECT rid, string_agg(word, ' ' ORDER BY place) AS words, count(*) AS n
+    FROM each ANTI JOIN covered USING (rid, place) GROUP BY rid
+)
+SELECT doc_id, CAST(len(d.words) AS BIGINT) AS n_words,
+       CAST(len(d.words) - coalesce(kept.n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept.words, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (rid)
+"""
+
+_ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+CONTAMINATION = f"""
+WITH d AS MATERIALIZED (
+    SELECT row_number() OVER () AS rid, doc_id,
+           regexp_extract_all({_LOWER.format("text")}, '{_ALNUM}') AS words
+    FROM documents
+), items AS MATERIALIZED (
+    SELECT item_id, words, least(len(words), 10) AS n FROM (
+        SELECT item_id, regexp_extract_all({_LOWER.format("text")}, '{_ALNUM}') AS words FROM benchmark
+    ) WHERE len(words) > 0
+), wanted AS MATERIALIZED (
+    SELECT DISTINCT item_id, n, array_to_string(words[place : place + n - 1], ' ') AS passage
+    FROM (SELECT *, unnest(range(1, len(words) - n + 2)) AS place FROM items)
+), sizes AS (SELECT DISTINCT n FROM wanted),
+starts AS (
+    SELECT rid, words, n, unnest(range(1, len(words) - n + 2)) AS place
+    FROM d JOIN sizes ON len(words) >= n
+), windows AS (
+    SELECT rid, n, place, array_to_string(words[place : place + n - 1], ' ') AS passage FROM starts
+), found AS MATERIALIZED (
+    SELECT rid, n, place, item_id FROM windows JOIN wanted USING (n, passage)
+), hits AS (
+    SELECT rid, count(DISTINCT place) AS n_hit
+    FROM (SELECT rid, unnest(range(place, place + n)) AS place FROM found) GROUP BY rid
+), owners AS (
+    SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+    FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY rid
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hits USING (rid) LEFT JOIN owners USING (rid)
+"""
+
+ORACLE: dict[str, str] = {
+    "op5_substring_dedup": REPEATS,
+    "op10_decontamination": CONTAMINATION,
+    "op13_quality_rules": QUALITY,
+}
