@@ -32,6 +32,15 @@ from tidepath.operators.series import (
     rank_places,
     rolling_7d,
 )
+from tidepath.operators.scalars import json_scalars
+from tidepath.operators.sets import (
+    bag_changes,
+    bag_difference,
+    bag_intersection,
+    grouped_at_once,
+    version_changes,
+    with_partner,
+)
 from tidepath.operators.sketches import daily_sketches, sketched_parties, sketched_quantiles
 from tidepath.operators.timejoins import asof_join, points_in_intervals, sessions
 from tidepath.operators.transfers import daily_cube, transfers, transfers_filtered
@@ -40,6 +49,9 @@ __all__ = [
     "amount_quantiles",
     "approx_parties",
     "asof_join",
+    "bag_changes",
+    "bag_difference",
+    "bag_intersection",
     "by_period",
     "by_place",
     "cohort_retention",
@@ -47,6 +59,8 @@ __all__ = [
     "daily_cube",
     "daily_sketches",
     "daily_zero_filled",
+    "grouped_at_once",
+    "json_scalars",
     "latest_per_key",
     "net_flow",
     "new_and_returning",
@@ -69,5 +83,7 @@ __all__ = [
     "totals",
     "transfers",
     "transfers_filtered",
+    "version_changes",
     "weekday_hour",
+    "with_partner",
 ]

@@ -356,6 +356,58 @@ ORACLE: dict[str, str] = {
     "sketched_quantiles": _with(
         "SELECT src, count(amount) AS n, TRUE AS within_bound FROM transfers GROUP BY src"
     ),
+    "idle_parties": _with(
+        """
+        SELECT c_custkey, c_nationkey FROM customer
+        WHERE c_mktsegment = 'BUILDING' AND c_custkey NOT IN (
+            SELECT party FROM transfers WHERE party IS NOT NULL
+            AND sent_at >= TIMESTAMP '1998-01-01' AND sent_at < TIMESTAMP '1998-02-01')
+        """
+    ),
+    "routes_lost": _with(
+        """
+        SELECT party, src, dst FROM transfers
+        WHERE sent_at >= TIMESTAMP '1992-01-01' AND sent_at < TIMESTAMP '1996-01-01'
+        EXCEPT ALL
+        SELECT party, src, dst FROM transfers
+        WHERE sent_at >= TIMESTAMP '1996-01-01' AND sent_at < TIMESTAMP '2000-01-01'
+        """
+    ),
+    "route_changes": _with(
+        """
+        SELECT party,
+               CASE WHEN sum(n_come) = 0 THEN 'removed' WHEN sum(n_gone) = 0 THEN 'added'
+                    ELSE 'changed' END AS change,
+               CAST(sum(n_gone) AS BIGINT) AS n_gone, CAST(sum(n_come) AS BIGINT) AS n_come
+        FROM (
+            SELECT party, greatest(a - b, 0) AS n_gone, greatest(b - a, 0) AS n_come FROM (
+                SELECT party, src, dst,
+                       count(*) FILTER (WHERE sent_at < TIMESTAMP '1996-01-01') AS a,
+                       count(*) FILTER (WHERE sent_at >= TIMESTAMP '1996-01-01') AS b
+                FROM transfers
+                WHERE sent_at >= TIMESTAMP '1992-01-01' AND sent_at < TIMESTAMP '2000-01-01'
+                GROUP BY party, src, dst
+            )
+        ) GROUP BY party HAVING sum(n_gone) + sum(n_come) > 0
+        """
+    ),
+    "grouped_at_once": _with(
+        """
+        SELECT concat_ws(',', CASE WHEN grouping(src) = 0 THEN 'src' END,
+                         CASE WHEN grouping(dst) = 0 THEN 'dst' END,
+                         CASE WHEN grouping(status) = 0 THEN 'status' END) AS "grouping",
+               src, dst, status, count(*) AS n, CAST(sum(amount) AS DOUBLE) AS volume
+        FROM transfers GROUP BY GROUPING SETS ((src, dst), (src, status), (status), ())
+        """
+    ),
+    "props_by_key": """
+        SELECT CASE WHEN props IS NULL THEN 'null' WHEN json_valid(props) THEN 'ok'
+                    ELSE 'malformed' END AS props_state,
+               CASE WHEN json_valid(props)
+                    THEN CAST(json_extract_string(props, '$.k') AS DOUBLE) END AS k,
+               count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS value
+        FROM events GROUP BY 1, 2
+        """,
     "live_daily": f"""
         SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, count(*) AS n
         FROM events GROUP BY 1

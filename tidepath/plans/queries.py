@@ -32,6 +32,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 # Parameters of the named queries; the SQL twins use the same.
 PERIOD = ("1996-02-01", "1999-11-01")
+QUIET_PERIOD = ("1998-01-01", "1998-02-01")
 SOURCES = ("NATION_3", "NATION_7", "NATION_11", "NATION_19", "NATION_24")
 STATUSES = ("F", "O")
 BAND_EDGES = ("25000.00", "75000.00")
@@ -284,6 +285,47 @@ def _clicks_before_purchases(spark: SparkSession, folder: str) -> DataFrame:
     return append_to_files(pairs.drop("bought_t", "clicked_t", "click_user"))
 
 
+GROUPINGS = (("src", "dst"), ("src", "status"), ("status",), ())
+
+
+def _idle_parties(spark: SparkSession, folder: str) -> DataFrame:
+    """Parties of one segment that have no transfer in a month."""
+    customers = read_tables(spark, folder, ("customer",))["customer"]
+    moves = ops.transfers_filtered(load_transfers(spark, folder), *QUIET_PERIOD)
+    builders = customers.where("c_mktsegment = 'BUILDING'").select("c_custkey", "c_nationkey")
+    return ops.with_partner(builders, moves, {"c_custkey": "party"}, partner=False)
+
+
+def _halves(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    moves = load_transfers(spark, folder)
+    routes = [
+        ops.transfers_filtered(moves, start, end).select("party", "src", "dst")
+        for start, end in (("1992-01-01", "1996-01-01"), ("1996-01-01", "2000-01-01"))
+    ]
+    return routes[0], routes[1]
+
+
+def _routes_lost(spark: SparkSession, folder: str) -> DataFrame:
+    """What parties sent along a path more often in the first four years than in the next."""
+    return ops.bag_difference(*_halves(spark, folder))
+
+
+def _route_changes(spark: SparkSession, folder: str) -> DataFrame:
+    """Parties whose transfers by path differ between the two halves, and by how many."""
+    return ops.version_changes(*_halves(spark, folder), ("party",))
+
+
+def _props_by_key(spark: SparkSession, folder: str) -> DataFrame:
+    """Events and their value by the key in their JSON text."""
+    events = read_tables(spark, folder, ("events",))["events"]
+    found = ops.json_scalars(events, "props", {"k": ("$.k", "long")})
+    return _plain(
+        found.groupBy("props_state", F.col("k").cast("double").alias("k")).agg(
+            F.count(F.lit(1)).alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).alias("value")
+        )
+    )
+
+
 QUERIES: dict[str, Query] = {
     "read_tables": _read_tables,
     "transfers": _transfers,
@@ -321,6 +363,11 @@ QUERIES: dict[str, Query] = {
     "events_in_sessions": _events_in_sessions,
     "sketched_parties": _sketched_parties,
     "sketched_quantiles": _sketched_quantiles,
+    "idle_parties": _idle_parties,
+    "routes_lost": _routes_lost,
+    "route_changes": _route_changes,
+    "grouped_at_once": _over_transfers(ops.grouped_at_once, sets=GROUPINGS),
+    "props_by_key": _props_by_key,
     "approx_parties_bound": _approx_parties_bound,
     "approx_parties": _over_transfers(ops.approx_parties),
     "live_daily": _live_daily,
