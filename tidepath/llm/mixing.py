@@ -7,12 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidepath.llm.common import stored
+
 # White space between words, weights of the sources in order.
 SPACE = r"[\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
 
 # The ranks of a source are cut into so many ranges; only the range that holds
-# the cut is ordered row by row, so a source with most rows is no single group.
+# the cut is ordered row by row, and the rows of the others are in so many groups.
 RANGES = 4096
 
 
@@ -63,6 +65,30 @@ def targets(sizes: DataFrame, weights: Sequence[float], share: float, most: floa
     )
 
 
+def inclusion(counts: DataFrame, goals: DataFrame) -> DataFrame:
+    """`_scaled, scale`: a document of `size` words is sampled with chance `scale / sqrt(size)`.
+
+    The chance is 1 where that is more. The scale makes the expected words those that are
+    left for the sample, so the chances are true probabilities; shorter documents are
+    likelier, which spreads the words over more of them. The shortest are the ones of
+    chance 1, a prefix by size, which one pass over the sizes of a source finds. `counts`
+    has a row for each source and size, however many documents have it.
+    """
+    by_size = Window.partitionBy("_source").orderBy("size")
+    shorter = by_size.rowsBetween(Window.unboundedPreceding, -1)
+    from_here = by_size.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    left = F.col("rest") - F.coalesce(F.sum(F.col("n") * F.col("size")).over(shorter), F.lit(0))
+    scale = left / F.sum(F.col("n") * F.sqrt("size")).over(from_here)
+    return (
+        counts.where("size > 0")
+        .join(goals.where("rest > 0"), F.col("source").eqNullSafe(F.col("_source")))
+        .withColumn("scale", scale)
+        .where(F.col("scale") <= F.sqrt("size"))
+        .groupBy(F.col("_source").alias("_scaled"))
+        .agg(F.min_by("scale", "size").alias("scale"))
+    )
+
+
 def uniform(column: str, seed: int) -> Column:
     """A number between 0 and 1 from the id, the same in every run and engine."""
     digits = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(column).cast("string"), F.lit(""))))
@@ -84,79 +110,73 @@ def mix_sources(
     document floor(r) times for certain. The rest is a Pareto order sample:
     documents are ranked by the odds of a random number over the odds of
     inclusion, and taken in that order until the words left are used up, so that
-    the size is fixed. Odds of inclusion are those of the rest's share times the
-    square root of mean size over size: a short document is likelier, which
-    spreads the words over more documents. Random numbers come from the id, so
-    reruns agree; equal ranks go by id, then by size.
-
-    The document on the border is taken if that brings the sum nearer to the
-    target. Null and empty texts have size 0, and are never in the sampled part.
-    Null ids and null sources are ordinary values; repeated rows are documents of
-    their own with equal ranks, kept apart by a number. Empty tables give no rows.
+    the size is fixed. See `inclusion`; documents of probability 1 are certain and go
+    first. Random numbers come from the id, so reruns agree; equal ranks go by id,
+    then by size.
+
+    A rank decides alone outside the range of ranks that holds the cut. Only that range,
+    a small part of its source, is ordered; rows of the others are spread.
+
+    The document on the border is taken if that brings the sum nearer to the target.
+    Null and empty texts have size 0, and are never in the sampled part. Null ids and
+    null sources are ordinary values; repeated rows are documents of their own with
+    equal ranks. Empty tables give no rows.
     """
-    rows = docs.select(
-        "doc_id", "source", n_words(F.col("text")).alias("size"), uniform("doc_id", seed).alias("u")
-    )
-    sizes = rows.groupBy("source").agg(
-        F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")
+    rows = stored(
+        docs.select(
+            "doc_id", "source", n_words(F.col("text")).alias("size"), uniform("doc_id", seed).alias("u")
+        ),
+        "mix-sizes",
     )
+    counts = rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
+    sizes = counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
+    whole = F.floor(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)))
     goals = (
-        targets(sizes.select("source", "source_size"), weights, share, most)
-        .join(sizes.select(F.col("source").alias("_s"), "n"), F.col("source").eqNullSafe(F.col("_s")))
-        .select(
-            F.col("source").alias("_source"),
-            "source_size",
-            "target",
-            (F.col("source_size") / F.col("n")).alias("mean"),
-            F.coalesce(
-                F.floor(F.col("target") / F.nullif(F.col("source_size"), F.lit(0))), F.lit(0)
-            ).alias("whole"),
-        )
+        targets(sizes, weights, share, most)
+        .withColumn("whole", F.coalesce(whole, F.lit(0)))
         .withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
+        .withColumnRenamed("source", "_source")
+    )
+    scales = inclusion(counts, goals)
+    goals = stored(
+        goals.join(scales, F.col("_source").eqNullSafe(F.col("_scaled")), "left").drop("_scaled"), "mix-goals"
     )
+    chance = F.col("scale") / F.sqrt("size")
     odds = lambda p: p / (1.0 - p)
-    part = F.col("rest") / F.col("source_size")
-    inclusion = odds(part) * F.sqrt(F.col("mean") / F.col("size"))
-    drawn = F.when((F.col("rest") > 0) & (F.col("size") > 0), odds(F.col("u")) / inclusion)
+    rank = F.when(
+        (F.col("rest") > 0) & (F.col("size") > 0),
+        F.when(chance < 1, odds(F.col("u")) / odds(chance)).otherwise(F.lit(0.0)),
+    )
     ranked = (
         rows.join(goals, F.col("source").eqNullSafe(F.col("_source")))
-        .withColumn("rank", drawn)
-        .withColumn(
-            "range",
-            # Rows without a rank are no group: they are spread over ranges below 0.
-            F.coalesce(
-                F.floor(F.col("rank") / (1.0 + F.col("rank")) * RANGES),
-                -1 - F.pmod(F.xxhash64("doc_id"), F.lit(RANGES)),
-            ).cast("int"),
-        )
-    )
-    so_far = (
-        Window.partitionBy("_source")
-        .orderBy("range")
-        .rowsBetween(Window.unboundedPreceding, -1)
+        .withColumn("rank", rank)
+        .withColumn("range", F.floor(F.col("rank") / (1.0 + F.col("rank")) * RANGES).cast("int"))
     )
+    so_far = Window.partitionBy("_source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = (
-        ranked.where("range >= 0")
+        ranked.where("range is not null")
         .groupBy("_source", "range")
-        .agg(F.sum("size").alias("held"))
+        .agg(F.sum("size").alias("held"), F.max("rest").alias("rest"))
         .withColumn("before", F.coalesce(F.sum("held").over(so_far), F.lit(0)))
-        .select(F.col("_source").alias("_of"), F.col("range").alias("_range"), "before")
-    )
-    in_range = Window.partitionBy("_source", "range").orderBy("rank", "doc_id", "size")
-    placed = (
-        ranked.join(
-            ranges,
-            F.col("_source").eqNullSafe(F.col("_of")) & (F.col("range") == F.col("_range")),
-            "left",
-        )
-        .withColumn(
-            "ends",
-            F.col("before")
-            + F.sum("size").over(in_range.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
-        )
-    )
-    sampled = F.coalesce(F.col("ends") - F.col("size") / 2 <= F.col("rest"), F.lit(False))
-    copies = F.col("whole") + F.when(sampled & F.col("rank").isNotNull(), 1).otherwise(0)
+    )
+    # The last range that starts within the words left holds the cut.
+    cuts = (
+        ranges.where("before <= rest")
+        .groupBy(F.col("_source").alias("_of"))
+        .agg(F.max("range").alias("cut"), F.max("before").alias("before"))
+    )
+    here = F.coalesce(F.col("range") == F.col("cut"), F.lit(False))
+    spread = -1 - F.pmod(F.xxhash64("doc_id", "size"), F.lit(RANGES))
+    placed = ranked.join(cuts, F.col("_source").eqNullSafe(F.col("_of")), "left").withColumn(
+        "group", F.when(here, F.lit(0)).otherwise(spread)
+    )
+    in_group = Window.partitionBy("_source", "group").orderBy("rank", "doc_id", "size")
+    ends = F.col("before") + F.sum("size").over(in_group.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = placed.withColumn("ends", ends)
+    sampled = F.when(here, F.col("ends") - F.col("size") / 2 <= F.col("rest")).otherwise(
+        F.col("range") < F.col("cut")
+    )
+    copies = F.col("whole") + F.coalesce(sampled, F.lit(False)).cast("long")
     return placed.select(
         "doc_id",
         "source",
@@ -171,18 +191,20 @@ def mix_sources(
 def mixed_documents(docs: DataFrame, **params) -> DataFrame:
     """The mix itself: each row of `docs` as often as it is taken, with `copy` from 1 on.
 
-    Rows with one id go in as often as the first of them by size is taken.
-    Documents without words are left out, as no word of theirs is taken.
+    Rows with one id go in as often as the one taken most. Documents without words are
+    left out, as no word of theirs is taken. All columns are kept, but a column called
+    `copy` is replaced.
     """
     taken = (
         mix_sources(docs, **params)
         .where("taken > 0")
-        .groupBy("doc_id")
-        .agg(F.max("copies").alias("_taken_copies"))
-        .withColumnRenamed("doc_id", "_taken_id")
+        .groupBy(F.col("doc_id").alias("taken_id"))
+        .agg(F.max("copies").cast("int").alias("times"))
     )
-    return (
-        docs.join(taken, docs["doc_id"].eqNullSafe(taken["_taken_id"]))
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_taken_copies").cast("int"))))
-        .drop("_taken_id", "_taken_copies")
+    kept = [(f"c{i}", name) for i, name in enumerate(docs.columns) if name != "copy"]
+    rows = docs.select(*(F.col(f"`{name}`").alias(c) for c, name in kept))
+    own = next(c for c, name in kept if name == "doc_id")
+    return rows.join(taken, F.col(own).eqNullSafe(F.col("taken_id"))).select(
+        *(F.col(c).alias(name) for c, name in kept),
+        F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy"),
     )
