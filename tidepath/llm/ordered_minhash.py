@@ -24,6 +24,9 @@ SIMILARITY = 0.8
 # a pair that has a third in common shares one with 1 in 30.
 SKETCHES = 28
 SAMPLE = 6
+# Texts of up to so many shingles are found by their smallest ones, which loses no pair;
+# their partners have up to a quarter more, so those have both kinds of keys.
+SHORT = 16
 # A document with very many partners is compared in groups of about so many.
 PARTNERS = 500
 
@@ -50,17 +53,26 @@ SEEDS = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
 
 
 def sketches(hashes: np.ndarray, many: int = SKETCHES, sample: int = SAMPLE) -> list[int]:
-    """Order MinHash: per sketch the smallest labelled shingles, in the order of the text."""
+    """The keys that near-duplicates share.
+
+    Order MinHash: per sketch the smallest labelled shingles, in the order of the text.
+    For a short text, in whose place each sketch would hold nearly all of it, the keys
+    are its smallest labelled shingles, one more than a similar text can lack.
+    """
     if not len(hashes):
         return []
     labelled = label_occurrences(hashes)
-    sample = min(sample, len(labelled))
     found = []
-    for number in range(many):
-        value = labelled * SEEDS[number]  # the labels are mixed: an odd factor reorders them
-        least = np.argpartition(value, sample - 1)[:sample]
-        kept = labelled[np.sort(least)].tobytes()
-        found.append(xxhash.xxh3_64_intdigest(kept, seed=number) - 2**63)
+    if len(labelled) <= SHORT / SIMILARITY:
+        spare = int(len(labelled) * (1 - SIMILARITY) + 1e-9)
+        for value in np.sort(labelled)[: spare + 1]:
+            found.append(xxhash.xxh3_64_intdigest(value.tobytes(), seed=many) - 2**63)
+    if len(labelled) > SHORT:
+        for number in range(many):
+            value = labelled * SEEDS[number]  # the labels are mixed: an odd factor reorders them
+            least = np.argpartition(value, sample - 1)[:sample]
+            kept = labelled[np.sort(least)].tobytes()
+            found.append(xxhash.xxh3_64_intdigest(kept, seed=number) - 2**63)
     return found
 
 
@@ -121,8 +133,8 @@ def _sketched(rows: DataFrame) -> DataFrame:
     return per_slice(rows, "text", "at long, digest string, n_words long, sketch array<long>", work)
 
 
-def _verify(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (`lead`, `other`) whose texts are similar enough.
+def _beside_leads(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Rows `lead, part, turn, at, text`: the texts of a lead, then those of its others.
 
     The others of a lead are sorted behind it in groups of bounded number; a task
     keeps one lead's shingles at a time and reads the others one by one.
@@ -139,14 +151,18 @@ def _verify(texts: DataFrame, pairs: DataFrame) -> DataFrame:
         F.lit(0).alias("turn"),
     )
     others = grouped.select("lead", F.col("other").alias("at"), "part", F.lit(1).alias("turn"))
-    placed = (
+    return (
         leads.unionByName(others)
         .join(texts, "at")
         .select("lead", "part", "turn", "at", "text")
         .repartition("lead", "part")
-        .sortWithinPartitions("lead", "part", "turn")
+        .sortWithinPartitions("lead", "part", "turn", "text")
     )
 
+
+def _verify(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (`lead`, `other`) whose texts are similar enough, as `a, b`."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         group, firsts = None, []
@@ -165,7 +181,143 @@ def _verify(texts: DataFrame, pairs: DataFrame) -> DataFrame:
                 [pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"]
             )
 
-    return placed.mapInArrow(run, "a long, b long")
+    return _beside_leads(texts, pairs).mapInArrow(run, "a long, b long")
+
+
+def _differences(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """How each `other` differs from its `lead`, by labelled shingles.
+
+    `lead, at, n_lead, n` (shingles of both), `missing` (the lead's that it lacks) and
+    `extras` (its own that the lead lacks). Of rows that share the lead's id the text
+    that sorts first stands for the lead.
+    """
+    names = ["lead", "at", "n_lead", "n", "missing", "extras"]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = WordHashes()
+        group, first = None, np.empty(0, np.int64)
+        for batch in batches:
+            found = []
+            columns = (batch.column(c).to_pylist() for c in range(4))
+            for (lead, part, turn, at), text in zip(zip(*columns), utf8(batch, 4)):
+                some = np.unique(label_occurrences(shingles(text, memo)).view(np.int64))
+                if group != (lead, part):
+                    group, first = (lead, part), some
+                if turn:
+                    extras = np.setdiff1d(some, first, assume_unique=True)
+                    missing = len(first) - (len(some) - len(extras))
+                    found.append((lead, at, len(first), len(some), missing, extras.tolist()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([f[i] for f in found], kind) for i, kind in enumerate(types)],
+                names=names,
+            )
+
+    return _beside_leads(texts, pairs).mapInArrow(
+        run, "lead long, at long, n_lead int, n int, missing int, extras array<long>"
+    )
+
+
+def _strays(texts: DataFrame, pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """Pairs `lead, other` of one lead's others, in different groups, that may be similar.
+
+    Similar texts of a and b shingles have at least (a + b) x 0.8 / 1.8 in common. Of
+    these, the lead's shingles less those that one of the two lacks can be the lead's;
+    `need` is how many must then be extras of both. Where nothing is needed, the two
+    are a pair; there both hold nearly as much of the lead as a similar text would. In
+    all other cases each text's extras are sorted, rarest first, and two that share
+    `need` of them share one among the first (all - need + 1). One of the two is in
+    another group than the lead. So no similar pair is lost, and texts that each
+    differ from the lead in their own way are not compared with each other.
+    """
+    share = SIMILARITY / (1 + SIMILARITY)
+    of_lead = groups.select(F.col("node").alias("lead"), F.col("component").alias("_lead_in"))
+    named = (
+        pairs.join(groups.select(F.col("node").alias("other"), "component"), "other", "left")
+        .join(of_lead, "lead", "left")
+        .select(
+            "lead",
+            F.col("other").alias("at"),
+            F.coalesce("component", "other").alias("component"),
+            (F.coalesce("component", "other") != F.coalesce("_lead_in", "lead")).alias("out"),
+        )
+    )
+    mixed = (
+        named.groupBy("lead")
+        .agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        .where("low <> high")
+        .select("lead")
+    )
+    named = stored(named.join(mixed, "lead"), "sketch-open")
+    differ = stored(
+        _differences(texts, named.select("lead", F.col("at").alias("other"))), "sketch-differences"
+    )
+    rows = differ.join(named, ["lead", "at"]).withColumn("n_extras", F.size("extras"))
+    outs = F.when(F.col("out"), share * F.col("n") + F.col("missing"))
+    bounds = rows.groupBy("lead").agg(
+        F.min("n").alias("n_least"), F.min(outs).alias("out_least")
+    )
+    # What a text needs of whichever partner: as one of another group than the lead, and as any.
+    partner = F.greatest(F.col("n_least"), SIMILARITY * F.col("n"))
+    as_out = share * (F.col("n") + partner) - F.col("n_lead") + F.col("missing")
+    as_any = share * F.col("n") - F.col("n_lead") + F.col("out_least")
+    at_least = lambda need: F.greatest(F.lit(1), F.ceil(need - 1e-9)).cast("int")
+    rows = rows.join(bounds, "lead").select(
+        "lead", "at", "component", "out", "n_lead", "n", "missing", "n_extras", "extras",
+        F.xxhash64("extras").alias("row"),
+        (as_out <= 1e-9).alias("free"),
+        at_least(as_out).alias("need_out"),
+        at_least(as_any).alias("need_any"),
+    )
+    need = (
+        share * (F.col("x.n") + F.col("y.n"))
+        - F.col("x.n_lead")
+        + F.greatest("x.missing", "y.missing")
+    )
+    apart = F.col("x.component") != F.col("y.component")
+    pair = (F.least("x.at", "y.at").alias("lead"), F.greatest("x.at", "y.at").alias("other"))
+
+    thin = rows.drop("extras")
+    free = (
+        thin.where("out and free").alias("x")
+        .join(thin.alias("y"), F.expr("x.lead = y.lead") & apart & (need <= 1e-9))
+        .select(*pair)
+    )
+    each = rows.withColumn("extra", F.explode("extras")).drop("extras")
+    shared = (
+        each.groupBy("lead", "extra")
+        .agg(
+            F.count(F.lit(1)).alias("often"),
+            F.min("component").alias("low"),
+            F.max("component").alias("high"),
+        )
+        .where("low <> high")
+        .select("lead", "extra", "often")
+    )
+    kept = [c for c in rows.columns if c != "extras"]
+    sorted_rows = (
+        each.join(shared, ["lead", "extra"])
+        .groupBy(*kept)
+        .agg(F.array_sort(F.collect_list(F.struct("often", "extra"))).alias("extras"))
+    )
+    sorted_rows = stored(sorted_rows, "sketch-extras")
+    first = lambda need: F.expr(
+        f"slice(extras, 1, greatest(0, size(extras) - {need} + 1))"
+    )
+    prefixes = lambda df, need: df.withColumn("e", F.explode(first(need))).select(
+        "lead", F.col("e.extra").alias("extra"), "at", "component", "n_lead", "n", "missing", "n_extras"
+    )
+    close = (
+        prefixes(sorted_rows.where("out"), "need_out").alias("x")
+        .join(
+            prefixes(sorted_rows, "need_any").alias("y"),
+            F.expr("x.lead = y.lead and x.extra = y.extra")
+            & apart
+            & (need <= F.least("x.n_extras", "y.n_extras") + 1e-9),
+        )
+        .select(*pair)
+    )
+    return free.unionByName(close).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -176,11 +328,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shingle. Groups are what links connect. `kept` marks the first of a group.
 
     Texts with equal words are one text from here on. Texts that share an Order
-    MinHash sketch are candidates. In a bucket each text is first compared with
-    the bucket's first one; texts that end up in another group than that are then
-    compared with all of the bucket that are still in other groups. So a bucket of
-    copies costs one comparison each, and no candidate that could join two groups
-    is left out.
+    MinHash sketch, or short ones that share a small shingle, are candidates. In a
+    bucket each text is first compared with its lead, the text that meets most others
+    in all its buckets. Texts that stay in another group than the lead are compared
+    with those of the bucket that differ from the lead in the same way (`_strays`). So
+    a bucket of copies costs one comparison each, near copies that are not similar to
+    each other cost few, and no candidate that could join two groups is left out.
 
     Null and empty texts are equal to nothing and stay alone. A null id counts as
     the last document; rows that share an id are one document, and link whatever
@@ -200,10 +353,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     buckets = (
         heads_of.where("at = first")
         .withColumn("n_shingles", F.greatest(F.col("n_words") - (SHINGLE - 1), F.lit(1)))
-        .select("at", band.alias("band"), F.posexplode("sketch").alias("number", "sketched"))
+        .select("at", band.alias("band"), F.explode("sketch").alias("sketched"))
         .select(
             "at",
-            "number",
             F.explode(
                 F.array(
                     F.xxhash64("sketched", "band"), F.xxhash64("sketched", F.col("band") + 1)
@@ -212,42 +364,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         )
         .distinct()
     )
+    sizes = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = stored(buckets.join(sizes, "key"), "sketch-buckets")
+    meets = members.groupBy("at").agg(F.sum("n").alias("meets"))
     leads = (
-        buckets.groupBy("number", "key")
-        .agg(F.min("at").alias("lead"), F.max("at").alias("last"))
-        .where("lead < last")
-        .select("number", "key", "lead")
+        members.select("key", "at")
+        .join(meets, "at")
+        .groupBy("key")
+        .agg(F.max(F.struct("meets", (-F.col("at")).alias("back"))).alias("most"))
+        .select("key", (-F.col("most.back")).alias("lead"))
     )
-    members = stored(buckets.join(leads, ["number", "key"]), "sketch-buckets")
-    pairs = members.where("at <> lead").select("lead", F.col("at").alias("other")).distinct()
-    involved = members.select("at").distinct()
-    texts = stored(rows.join(involved, "at"), "sketch-texts")
-    star = stored(_verify(texts, pairs), "sketch-links")
-    links = copies.unionByName(star)
+    pairs = stored(
+        members.join(leads, "key")
+        .where("at <> lead")
+        .select("lead", F.col("at").alias("other"))
+        .distinct(),
+        "sketch-pairs",
+    )
+    texts = stored(rows.join(meets.select("at"), "at"), "sketch-texts")
+    links = copies.unionByName(stored(_verify(texts, pairs), "sketch-links"))
     groups = components(links)
-
     # What is left: bucket mates that the first comparisons did not bring together.
-    named = members.join(groups.withColumnRenamed("node", "at"), "at", "left").withColumn(
-        "component", F.coalesce("component", "at")
-    )
-    mixed = (
-        named.groupBy("number", "key")
-        .agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        .where("low <> high")
-        .select("number", "key")
-    )
-    open_members = named.join(mixed, ["number", "key"]).select(
-        "number", "key", "lead", "at", "component"
-    )
-    strays = (
-        open_members.where("at <> lead").alias("x")
-        .join(open_members.where("at <> lead").alias("y"), ["number", "key"])
-        .where("x.component < y.component")
-        .select(F.least("x.at", "y.at").alias("lead"), F.greatest("x.at", "y.at").alias("other"))
-        .distinct()
-        .join(pairs, ["lead", "other"], "left_anti")
-    )
-    strays = stored(strays, "sketch-strays")
+    strays = stored(_strays(texts, pairs, groups), "sketch-strays")
     if not strays.isEmpty():
         more = stored(_verify(texts, strays), "sketch-links")
         if not more.isEmpty():
