@@ -209,6 +209,19 @@ def test_a_busy_user_is_merged_before_the_shuffle(feed):
     assert [row[3] for row in seen_sessions(feed)] == [3000, 1]
 
 
+def test_sessions_need_no_setting_for_their_state(spark, feed):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    default = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    spark.conf.set(name, default)
+    try:
+        feed.send((1, 0, 1), (2, 6.5, 1))
+        assert seen_sessions(feed) == [(1, 0, 6, 1, False), (1, 6.5, 12.5, 1, False)]
+        assert spark.conf.get(name) == default
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_no_sessions_of_nothing(feed):
     feed.send()
     assert seen_sessions(feed) == []
