@@ -1,7 +1,11 @@
+import os
+import subprocess
+import sys
 from datetime import datetime, timedelta
 
 import pytest
 from helpers import SMALL, rows_of
+from pyspark.serializers import CPickleSerializer
 
 from tidepath.sources import read_tables
 from tidepath.sources.tables import SCHEMAS
@@ -13,6 +17,7 @@ from tidepath.streaming import (
     live_daily,
     read_event_stream,
     session_changes,
+    stateful,
     stream_dedupe,
     user_sessions,
 )
@@ -222,6 +227,14 @@ def test_sessions_need_no_setting_for_their_state(spark, feed):
         spark.conf.set(name, before)
 
 
+def test_sessions_start_where_the_package_cannot_be_imported(tmp_path):
+    sent = CPickleSerializer().dumps(stateful._sessions())
+    environment = {name: value for name, value in os.environ.items() if name != "PYTHONPATH"}
+    load = [sys.executable, "-c", "import pickle, sys; pickle.load(sys.stdin.buffer)"]
+    done = subprocess.run(load, input=sent, cwd=tmp_path, env=environment, capture_output=True)
+    assert done.returncode == 0, done.stderr.decode()
+
+
 def test_no_sessions_of_nothing(feed):
     feed.send()
     assert seen_sessions(feed) == []

@@ -57,82 +57,91 @@ def _merged_parts(gap: int):
     return run
 
 
-class _Sessions(StatefulProcessor):
-    """Open sessions of a user in order of their start, with one timer for the earliest end.
+def _sessions() -> StatefulProcessor:
+    """A processor that is sent whole, as a class within a function is.
 
-    A user has few of them: one ends before the next begins, and those whose end the
-    watermark has passed are gone. State and timers are reached through a socket, so a
-    user costs a few calls a batch, however many sessions the batch holds.
+    The process that starts a stateful query on the driver sees no files sent with
+    `--py-files` and need not find this package; a class by name would have to be imported.
     """
 
-    def init(self, handle) -> None:
-        self.handle = handle
-        kind = "starts array<long>, finishes array<long>, sizes array<long>"
-        self.held = handle.getValueState("open", kind)
-
-    @staticmethod
-    def _timer(finish: int) -> int:
-        return -(-finish // 1000)
-
-    def _read(self) -> dict[int, tuple[int, int]]:
-        value = self.held.get()
-        return {start: (finish, n) for start, finish, n in zip(*value)} if value else {}
-
-    def _write(self, now: dict[int, tuple[int, int]]) -> None:
-        if now:
+    class Sessions(StatefulProcessor):
+        """Open sessions of a user in order of their start, with one timer for the earliest end.
+
+        A user has few of them: one ends before the next begins, and those whose end the
+        watermark has passed are gone. State and timers are reached through a socket, so a
+        user costs a few calls a batch, however many sessions the batch holds.
+        """
+
+        def init(self, handle) -> None:
+            self.handle = handle
+            kind = "starts array<long>, finishes array<long>, sizes array<long>"
+            self.held = handle.getValueState("open", kind)
+
+        @staticmethod
+        def _timer(finish: int) -> int:
+            return -(-finish // 1000)
+
+        def _read(self) -> dict[int, tuple[int, int]]:
+            value = self.held.get()
+            return {start: (finish, n) for start, finish, n in zip(*value)} if value else {}
+
+        def _write(self, now: dict[int, tuple[int, int]]) -> None:
+            if now:
+                order = sorted(now)
+                self.held.update((order, [now[s][0] for s in order], [now[s][1] for s in order]))
+            else:
+                self.held.clear()
+
+        def _due(self, now: dict[int, tuple[int, int]]) -> int | None:
+            return min((self._timer(finish) for finish, _ in now.values()), default=None)
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+            before = self._read()
+            now = dict(before)
+            # Sessions lie apart, so their starts and their ends are in one order.
             order = sorted(now)
-            self.held.update((order, [now[s][0] for s in order], [now[s][1] for s in order]))
-        else:
-            self.held.clear()
-
-    def _due(self, now: dict[int, tuple[int, int]]) -> int | None:
-        return min((self._timer(finish) for finish, _ in now.values()), default=None)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        before = self._read()
-        now = dict(before)
-        # Sessions lie apart, so their starts and their ends are in one order.
-        order = sorted(now)
-        for row in rows:
-            start, finish, n = row.start, row.finish, row.n
-            # Both ends count: events exactly the gap apart are one session.
-            low = high = bisect_left(order, start)
-            while low and now[order[low - 1]][0] >= start:
-                low -= 1
-            while high < len(order) and order[high] <= finish:
-                high += 1
-            for other in order[low:high]:
-                end, size = now.pop(other)
-                start, finish, n = min(start, other), max(finish, end), n + size
-            order[low:high] = [start]
-            now[start] = (finish, n)
-        old, new = self._due(before), self._due(now)
-        if old != new:
-            if old is not None:
-                self.handle.deleteTimer(old)
-            self.handle.registerTimer(new)
-        self._write(now)
-        for start, (finish, _) in before.items():
-            if start not in now:
-                yield Row(user_id=key[0], start=start, finish=finish, n=0, change="merged")
-        for start, (finish, n) in now.items():
-            if before.get(start) != (finish, n):
-                yield Row(user_id=key[0], start=start, finish=finish, n=n, change="open")
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        now = self._read()
-        # The earliest end stands for all that the watermark has passed.
-        passed = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
-        left = {start: held for start, held in now.items() if self._timer(held[0]) > passed}
-        self._write(left)
-        if left:
-            self.handle.registerTimer(self._due(left))
-        for start, (finish, n) in now.items():
-            if start not in left:
-                yield Row(user_id=key[0], start=start, finish=finish, n=n, change="closed")
-
-    def close(self) -> None:
-        pass
+            for row in rows:
+                start, finish, n = row.start, row.finish, row.n
+                # Both ends count: events exactly the gap apart are one session.
+                low = high = bisect_left(order, start)
+                while low and now[order[low - 1]][0] >= start:
+                    low -= 1
+                while high < len(order) and order[high] <= finish:
+                    high += 1
+                for other in order[low:high]:
+                    end, size = now.pop(other)
+                    start, finish, n = min(start, other), max(finish, end), n + size
+                order[low:high] = [start]
+                now[start] = (finish, n)
+            old, new = self._due(before), self._due(now)
+            if old != new:
+                if old is not None:
+                    self.handle.deleteTimer(old)
+                self.handle.registerTimer(new)
+            self._write(now)
+            for start, (finish, _) in before.items():
+                if start not in now:
+                    yield Row(user_id=key[0], start=start, finish=finish, n=0, change="merged")
+            for start, (finish, n) in now.items():
+                if before.get(start) != (finish, n):
+                    yield Row(user_id=key[0], start=start, finish=finish, n=n, change="open")
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+            now = self._read()
+            # The earliest end stands for all that the watermark has passed.
+            passed = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+            left = {start: held for start, held in now.items() if self._timer(held[0]) > passed}
+            self._write(left)
+            if left:
+                self.handle.registerTimer(self._due(left))
+            for start, (finish, n) in now.items():
+                if start not in left:
+                    yield Row(user_id=key[0], start=start, finish=finish, n=n, change="closed")
+
+        def close(self) -> None:
+            pass
+
+    return Sessions()
 
 
 def session_changes(stream: DataFrame, gap: str = "6 hours", delay: str = "1 hour") -> DataFrame:
@@ -161,7 +170,7 @@ def session_changes(stream: DataFrame, gap: str = "6 hours", delay: str = "1 hou
         "ends", f"{wide + _seconds(delay)} seconds"
     )
     found = ends.groupBy("user_id").transformWithState(
-        _Sessions(), CHANGES, outputMode="Update", timeMode="EventTime"
+        _sessions(), CHANGES, outputMode="Update", timeMode="EventTime"
     )
 
     def moment(column: str) -> Column:
