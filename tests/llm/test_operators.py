@@ -113,6 +113,14 @@ def test_scores(documents):
     assert score_texts(docs.limit(0), held).count() == 0
 
 
+def test_scores_tell_whole_words_before_apart(documents):
+    # Both words before end in the same two bytes, and both words after are as frequent.
+    rows = [(i, ("warm rain", "farm gate")[i % 2] + f" w{i % 5}") for i in range(80)]
+    rows += [(100, "warm rain w1"), (101, "warm gate w1"), (102, "farm gate w1"), (103, "farm rain w1")]
+    found = {row.doc_id: row.score for row in score_texts(documents(*rows), F.col("doc_id") >= 100).collect()}
+    assert min(found[100], found[102]) > max(found[101], found[103]) + 1
+
+
 def test_seating_keeps_its_bounds():
     counts = np.array([0, 1, 2, 70, 5000])
     tables = seat(counts, np.full(5, 0.5), 0.7, np.random.default_rng(1))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepath.llm.common import slices, stored, utf8
-from tidepath.llm.substrings import WordHashes
+from tidepath.llm.substrings import WordHashes, mix
 
 # Lower-cases A-Z.
 FOLD = bytes(code + 32 if 65 <= code <= 90 else code for code in range(256))
@@ -22,7 +22,10 @@ END = b" "
 # Texts are numbered in chunks of about so many bytes, and words are dealt out to
 # buckets so that each gets about so many (context, word) cells of all chunks.
 CHUNK_BYTES = 8_000_000
-BUCKET_CELLS = 1_000_000
+BUCKET_CELLS = 1_500_000
+# A context is named by the high bits of its word's hash; in a bucket it has a number.
+CONTEXT_SHIFT = np.uint64(16)
+LOW = (1 << 32) - 1
 # Sweeps of the sampler, and how many of the last ones are averaged.
 SWEEPS = 4
 AVERAGED = 2
@@ -50,18 +53,8 @@ def one_by_one(batch: pa.RecordBatch) -> Iterator[dict]:
         yield batch.slice(at, 1).to_pylist()[0]
 
 
-class Tails(dict):
-    """The context that a word gives to the next: its last two bytes, as a number."""
-
-    def __missing__(self, word: bytes) -> int:
-        value = int.from_bytes(word[-2:], "big")
-        if len(self) < 400_000:
-            self[word] = value
-        return value
-
-
 def _chunks(rows: DataFrame) -> DataFrame:
-    """One row per chunk of texts: ids, whether held out, lengths, word hashes and tails."""
+    """One row per chunk of texts: ids, whether held out, lengths, word hashes and tokens."""
     kind = rows.schema["doc_id"].dataType.simpleString()
     id_type = rows.sparkSession.createDataFrame([], f"doc_id {kind}").schema
 
@@ -69,27 +62,24 @@ def _chunks(rows: DataFrame) -> DataFrame:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow_id = to_arrow_schema(id_type).field(0).type
-        memo, tails, done = WordHashes(), Tails(), 0
+        memo, done = WordHashes(), 0
         part = TaskContext.get().partitionId()
         for batch in batches:
             for some in slices(batch, 2, CHUNK_BYTES):
-                hashes, ends, lengths = [], [], []
+                hashes, lengths = [], []
                 for text in utf8(some, 2):
                     words = text.translate(FOLD).split()
                     words.append(END)
                     hashes.append(memo.of(words))
-                    ends.append(np.fromiter(map(tails.__getitem__, words), np.uint16, len(words)))
                     lengths.append(len(words))
                 # Distinct words once, and their numbers for the tokens.
-                flat, tail = np.concatenate(hashes), np.concatenate(ends)
-                distinct, first, number = np.unique(flat, return_index=True, return_inverse=True)
+                distinct, number = np.unique(np.concatenate(hashes), return_inverse=True)
                 made = {
                     "chunk": [(part << 32) + done],
                     "ids": pa.array([some.column(0).to_pylist()], pa.list_(arrow_id)),
                     "held": [some.column(1).to_pylist()],
                     "lengths": [lengths],
                     "words": [pack(distinct)],
-                    "tails": [pack(tail[first])],
                     "tokens": [pack(number.astype(np.uint32))],
                 }
                 done += 1
@@ -97,7 +87,7 @@ def _chunks(rows: DataFrame) -> DataFrame:
 
     schema = (
         f"chunk long, ids array<{kind}>, held array<boolean>, lengths array<int>, "
-        "words binary, tails binary, tokens binary"
+        "words binary, tokens binary"
     )
     return rows.mapInArrow(_typed(run, schema, rows), schema)
 
@@ -117,23 +107,20 @@ def _typed(run, schema: str, like: DataFrame):
     return typed
 
 
-def _read_chunk(lengths: list[int], words: bytes, tails: bytes, tokens: bytes) -> tuple:
+def _read_chunk(lengths: list[int], words: bytes, tokens: bytes) -> tuple:
     """The chunk's word hashes, cell keys, cell of each token, and where texts start.
 
-    A cell key is the word's number times 65536 plus the context, which is 0 for
-    the first token of a text.
+    A cell key is the word's number and, in its low 32 bits, the context: one more than
+    the number of the whole word before, or 0 for the first token of a text.
     """
     hashes = unpack(words, np.uint64)
-    number = unpack(tokens, np.uint32)
-    ends = np.zeros(len(number), bool)
-    stops = np.cumsum(lengths)
-    ends[stops - 1] = True
-    tail = unpack(tails, np.uint16)[number].astype(np.int64)
+    number = unpack(tokens, np.uint32).astype(np.int64)
+    starts = np.cumsum(lengths) - np.array(lengths)
     context = np.zeros(len(number), np.int64)
-    context[1:] = tail[:-1]
-    context[1:][ends[:-1]] = 0
-    keys, cell = np.unique(number.astype(np.int64) * 65536 + context, return_inverse=True)
-    return hashes, keys, cell, stops - np.array(lengths)
+    context[1:] = number[:-1] + 1
+    context[starts] = 0
+    keys, cell = np.unique(number << 32 | context, return_inverse=True)
+    return hashes, keys, cell, starts
 
 
 def _requests(chunks: DataFrame, buckets: int) -> DataFrame:
@@ -142,11 +129,13 @@ def _requests(chunks: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in one_by_one(batch):
-                hashes, keys, cell, _ = _read_chunk(*(row[c] for c in ("lengths", "words", "tails", "tokens")))
+                hashes, keys, cell, _ = _read_chunk(*(row[c] for c in ("lengths", "words", "tokens")))
                 train = np.repeat(~np.array(row["held"], bool), row["lengths"])
                 trained = np.bincount(cell[train], minlength=len(keys))
                 bucket = (hashes % np.uint64(buckets)).astype(np.int64)
-                word = keys >> 16
+                word, context = keys >> 32, keys & LOW
+                # Hashes are sorted, so contexts are in the order of their numbers.
+                names_of = np.append(np.uint64(0), hashes >> CONTEXT_SHIFT)
                 of_cell = bucket[word]
                 order, word_order = np.argsort(of_cell, kind="stable"), np.argsort(bucket, kind="stable")
                 at = np.searchsorted(of_cell[order], np.arange(buckets + 1))
@@ -155,6 +144,7 @@ def _requests(chunks: DataFrame, buckets: int) -> DataFrame:
                 for b in np.flatnonzero(np.diff(word_at)).tolist():
                     cells = order[at[b] : at[b + 1]]
                     names = word_order[word_at[b] : word_at[b + 1]]
+                    used, which = np.unique(context[cells], return_inverse=True)
                     made.append(
                         {
                             "chunk": row["chunk"],
@@ -165,14 +155,18 @@ def _requests(chunks: DataFrame, buckets: int) -> DataFrame:
                                     np.searchsorted(names, word[cells]), minlength=len(names)
                                 ).astype(np.uint32)
                             ),
-                            "contexts": pack((keys[cells] & 65535).astype(np.uint16)),
+                            "contexts": pack(np.diff(names_of[used], prepend=np.uint64(0))),
+                            "which": pack(which.astype(np.uint32)),
                             "trained": pack(trained[cells].astype(np.uint32)),
                         }
                     )
                 if made:
                     yield pa.RecordBatch.from_pylist(made)
 
-    schema = "chunk long, bucket int, words binary, held binary, contexts binary, trained binary"
+    schema = (
+        "chunk long, bucket int, words binary, held binary, contexts binary, which binary, "
+        "trained binary"
+    )
     return chunks.mapInArrow(_typed(run, schema, chunks), schema)
 
 
@@ -181,13 +175,14 @@ class Cells:
     """A bucket's cells, ordered by word and context, with their training counts."""
 
     words: np.ndarray
+    contexts: np.ndarray
     keys: np.ndarray
     counts: np.ndarray
     word: np.ndarray = field(init=False)
     context: np.ndarray = field(init=False)
 
     def __post_init__(self):
-        self.word, self.context = self.keys >> 16, self.keys & 65535
+        self.word, self.context = self.keys >> 32, self.keys & LOW
         self.word_counts = np.bincount(self.word, self.counts, len(self.words)).astype(np.int64)
 
 
@@ -196,12 +191,14 @@ def _merge(requests: DataFrame) -> DataFrame:
 
     def merged(bucket: int, parts: list[dict]) -> dict:
         words = np.unique(np.concatenate([unpack(p["words"], np.uint64) for p in parts]))
+        named = [np.cumsum(unpack(p["contexts"], np.uint64)) for p in parts]
+        contexts = np.unique(np.concatenate(named))
         keys, counts = [], []
-        for part in parts:
+        for part, names in zip(parts, named):
             number = np.searchsorted(words, unpack(part["words"], np.uint64))
             held = unpack(part["held"], np.uint32)
-            contexts = unpack(part["contexts"], np.uint16)
-            keys.append(np.repeat(number, held).astype(np.int64) * 65536 + contexts)
+            context = np.searchsorted(contexts, names)[unpack(part["which"], np.uint32)]
+            keys.append(np.repeat(number, held).astype(np.int64) << 32 | context)
             counts.append(unpack(part["trained"], np.uint32))
         distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(place, np.concatenate(counts), len(distinct)).astype(np.uint64)
@@ -209,6 +206,7 @@ def _merge(requests: DataFrame) -> DataFrame:
         return {
             "bucket": bucket,
             "words": pack(words),
+            "contexts": pack(np.diff(contexts, prepend=np.uint64(0))),
             "keys": pack(np.diff(distinct, prepend=0)),
             "counts": pack(total),
             "chunks": [p["chunk"] for p in parts],
@@ -231,7 +229,7 @@ def _merge(requests: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist([merged(bucket, parts)])
 
     schema = (
-        "bucket int, words binary, keys binary, counts binary, "
+        "bucket int, words binary, contexts binary, keys binary, counts binary, "
         "chunks array<long>, places array<binary>"
     )
     dealt = requests.repartition("bucket").sortWithinPartitions("bucket")
@@ -240,10 +238,10 @@ def _merge(requests: DataFrame) -> DataFrame:
 
 @dataclass
 class Totals:
-    """What one sweep needs of all buckets: sums per context and at the root."""
+    """What one sweep needs of all buckets: sums at the root, and per context of one bucket."""
 
-    customers: np.ndarray  # per context
-    tables: np.ndarray  # per context
+    customers: np.ndarray  # per context of the bucket
+    tables: np.ndarray  # per context of the bucket
     root_customers: float
     root_tables: float
 
@@ -295,10 +293,11 @@ class Restaurants:
         self.root_tables = (self.customers > 0).astype(np.float64)
 
     def totals(self) -> Totals:
-        context = self.cells.context
+        """The sums over this bucket alone."""
+        context, many = self.cells.context, len(self.cells.contexts)
         return Totals(
-            np.bincount(context, self.cells.counts, 65536),
-            np.bincount(context, self.tables, 65536),
+            np.bincount(context, self.cells.counts, many),
+            np.bincount(context, self.tables, many),
             float(self.customers.sum()),
             float(self.root_tables.sum()),
         )
@@ -332,6 +331,7 @@ class Restaurants:
 def _cells_in(row: dict) -> Cells:
     return Cells(
         unpack(row["words"], np.uint64),
+        np.cumsum(unpack(row["contexts"], np.uint64)),
         np.cumsum(unpack(row["keys"], np.int64)),
         unpack(row["counts"], np.uint64).astype(np.int64),
     )
@@ -359,50 +359,144 @@ def _settings(buckets: DataFrame) -> Settings:
     return Settings(share(sums[0], sums[1]), share(sums[2], sums[3]), sums[4], sums[5])
 
 
-def _after(buckets: DataFrame, settings: Settings, history: list[Totals]) -> Totals:
-    """The sums over all buckets after the sweeps in `history` and one that used its last."""
+class Owners:
+    """Which bucket sums each of a bucket's contexts, and the contexts in that order."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+    def __init__(self, contexts: np.ndarray, buckets: int):
+        owner = (mix(contexts) % np.uint64(buckets)).astype(np.int64)
+        self.order = np.argsort(owner, kind="stable")
+        self.at = np.searchsorted(owner[self.order], np.arange(buckets + 1))
+        self.used = np.flatnonzero(np.diff(self.at)).tolist()
+
+    def of(self, owner: int) -> np.ndarray:
+        return self.order[self.at[owner] : self.at[owner + 1]]
+
+
+def _history(cells: Cells, sums: pa.Table, roots: list[tuple], owners: Owners) -> list[Totals]:
+    """The sums after each sweep so far, as the owners of the bucket's contexts returned them."""
+    many = len(cells.contexts)
+    customers, tables = np.zeros(many), np.zeros((len(roots), many))
+    for batch in sums.to_batches():
+        for row in one_by_one(batch):
+            mine = owners.of(row["owner"])
+            if row["sweep"] == 0:
+                customers[mine] = unpack(row["customers"], np.uint64)
+            tables[row["sweep"]][mine] = unpack(row["tables"], np.uint64)
+    return [Totals(customers, now, *root) for now, root in zip(tables, roots)]
+
+
+SUMS = "bucket int, owner int, sweep int, places binary, customers binary, tables binary"
+
+
+def _after(
+    cells: DataFrame, sums: DataFrame, settings: Settings, roots: list[tuple], buckets: int
+) -> tuple[DataFrame, tuple]:
+    """What all buckets have after the sweeps in `sums` and one that used the last of them.
+
+    Per bucket and owner of contexts the sums over all buckets, in the order in which the
+    bucket has them, and the sums at the root. An owner numbers its contexts the first
+    time, and later sums come by these numbers (`places`).
+    """
+    sweep = len(roots)
+
+    def send(mine: pa.Table, found: pa.Table) -> pa.Table:
+        made = {name: [] for name in ("bucket", "owner", "names", "places", "customers", "tables")}
+        for batch in mine.to_batches():
             for row in one_by_one(batch):
-                seating = Restaurants(_cells_in(row), settings, seed=row["bucket"])
-                for totals in history:
+                held = _cells_in(row)
+                owners = Owners(held.contexts, buckets)
+                seating = Restaurants(held, settings, seed=row["bucket"])
+                for totals in _history(held, found, roots, owners):
                     seating.sweep(totals)
-                sums = seating.totals()
-                used = np.flatnonzero(sums.customers)
-                made = {
-                    "context": np.append(used, -1),
-                    "customers": np.append(sums.customers[used], sums.root_customers),
-                    "tables": np.append(sums.tables[used], sums.root_tables),
-                }
-                yield pa.RecordBatch.from_pydict(made)
+                now = seating.totals()
+                places = {}
+                for batch in found.to_batches() if sweep else ():
+                    for old in one_by_one(batch):
+                        if old["sweep"] == 0:
+                            places[old["owner"]] = old["places"]
+                for owner in owners.used:
+                    at = owners.of(owner)
+                    made["bucket"].append(row["bucket"])
+                    made["owner"].append(owner)
+                    made["names"].append(
+                        None if sweep else pack(np.diff(held.contexts[at], prepend=np.uint64(0)))
+                    )
+                    made["places"].append(places.get(owner))
+                    made["customers"].append(None if sweep else pack(now.customers[at].astype(np.uint64)))
+                    made["tables"].append(pack(now.tables[at].astype(np.uint64)))
+                made["bucket"].append(row["bucket"])
+                made["owner"].append(-1)
+                for name in ("names", "places"):
+                    made[name].append(None)
+                made["customers"].append(pack(np.array([now.root_customers]).astype(np.uint64)))
+                made["tables"].append(pack(np.array([now.root_tables]).astype(np.uint64)))
+        return pa.table(
+            [
+                pa.array(made["bucket"], pa.int32()), pa.array(made["owner"], pa.int32()),
+                *(pa.array(made[n], pa.binary()) for n in ("names", "places", "customers", "tables")),
+            ],
+            names=list(made),
+        )
+
+    def add(parts: pa.Table) -> pa.Table:
+        rows = [row for batch in parts.to_batches() for row in one_by_one(batch)]
+        owner = rows[0]["owner"]
+        if owner < 0:
+            places = [np.zeros(1, np.int64) for _ in rows]
+        elif sweep:
+            places = [np.cumsum(unpack(row["places"], np.uint32), dtype=np.int64) for row in rows]
+        else:
+            named = [np.cumsum(unpack(row["names"], np.uint64)) for row in rows]
+            known = np.unique(np.concatenate(named))
+            places = [np.searchsorted(known, names) for names in named]
+        size = 1 + max(int(at[-1]) for at in places)
+
+        def added(name: str) -> list[bytes | None]:
+            if rows[0][name] is None:
+                return [None for _ in rows]
+            total = np.zeros(size, np.uint64)
+            for row, at in zip(rows, places):
+                total[at] += unpack(row[name], np.uint64)
+            return [pack(total[at]) for at in (places[:1] if owner < 0 else places)]
+
+        first = owner < 0
+        some = rows[:1] if first else rows
+        kept = [
+            None if sweep or first else pack(np.diff(at, prepend=0).astype(np.uint32))
+            for at in places[: len(some)]
+        ]
+        return pa.table(
+            [
+                pa.array([row["bucket"] for row in some], pa.int32()),
+                pa.array([owner] * len(some), pa.int32()),
+                pa.array([sweep] * len(some), pa.int32()),
+                pa.array(kept, pa.binary()),
+                pa.array(added("customers"), pa.binary()),
+                pa.array(added("tables"), pa.binary()),
+            ],
+            names=["bucket", "owner", "sweep", "places", "customers", "tables"],
+        )
 
-    schema = "context int, customers double, tables double"
-    # At most 65,537 rows, whatever the input: two bytes make a context.
-    rows = (
-        buckets.mapInArrow(_typed(run, schema, buckets), schema)
-        .groupBy("context")
-        .agg(F.sum("customers"), F.sum("tables"))
-        .collect()
+    sent = cells.groupBy("bucket").cogroup(sums.groupBy("bucket")).applyInArrow(
+        send, "bucket int, owner int, names binary, places binary, customers binary, tables binary"
     )
-    found = Totals(np.zeros(65536), np.zeros(65536), 0.0, 0.0)
-    for context, customers, tables in rows:
-        if context < 0:
-            found.root_customers, found.root_tables = customers, tables
-        else:
-            found.customers[context], found.tables[context] = customers, tables
-    return found
+    found = stored(sent.groupBy("owner").applyInArrow(add, SUMS), "lm-sums")
+    root = found.where("owner < 0").select("customers", "tables").first()
+    root = tuple(float(unpack(x, np.uint64)[0]) for x in root) if root else (0.0, 0.0)
+    return found.where("owner >= 0"), root
 
 
-def _answers(buckets: DataFrame, settings: Settings, history: list[Totals]) -> DataFrame:
+def _answers(
+    merged: DataFrame, sums: DataFrame, settings: Settings, roots: list[tuple], buckets: int
+) -> DataFrame:
     """Per chunk and bucket the log10 probability of each cell and the count of each word."""
-    shared = buckets.sparkSession.sparkContext.broadcast(history)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        history = shared.value
-        for batch in batches:
+    def answer(mine: pa.Table, found: pa.Table) -> pa.Table:
+        made = {name: [] for name in ("chunk", "bucket", "logs", "seen")}
+        for batch in mine.to_batches():
             for row in one_by_one(batch):
                 cells = _cells_in(row)
+                history = _history(cells, found, roots, Owners(cells.contexts, buckets))
                 seating = Restaurants(cells, settings, seed=row["bucket"])
                 mean = np.zeros(len(cells.keys))
                 for number, totals in enumerate(history[:-1], 1):
@@ -413,23 +507,27 @@ def _answers(buckets: DataFrame, settings: Settings, history: list[Totals]) -> D
                 for chunk, steps in zip(row["chunks"], row["places"]):
                     place = np.cumsum(unpack(steps, np.uint32), dtype=np.int64)
                     words = np.unique(cells.word[place])
-                    yield pa.RecordBatch.from_pydict(
-                        {
-                            "chunk": [chunk],
-                            "bucket": [row["bucket"]],
-                            "logs": [pack(logs[place])],
-                            "seen": [pack(cells.word_counts[words].astype(np.uint64))],
-                        }
-                    )
+                    made["chunk"].append(chunk)
+                    made["bucket"].append(row["bucket"])
+                    made["logs"].append(pack(logs[place]))
+                    made["seen"].append(pack(cells.word_counts[words].astype(np.uint64)))
+        return pa.table(
+            [
+                pa.array(made["chunk"], pa.int64()), pa.array(made["bucket"], pa.int32()),
+                pa.array(made["logs"], pa.binary()), pa.array(made["seen"], pa.binary()),
+            ],
+            names=list(made),
+        )
 
-    schema = "chunk long, bucket int, logs binary, seen binary"
-    return buckets.mapInArrow(_typed(run, schema, buckets), schema)
+    return merged.groupBy("bucket").cogroup(sums.groupBy("bucket")).applyInArrow(
+        answer, "chunk long, bucket int, logs binary, seen binary"
+    )
 
 
 def _score(chunks: DataFrame, answers: DataFrame, buckets: int, settings: Settings) -> DataFrame:
     """Bring each chunk's answers back to it and sum them up by text."""
     kind = chunks.schema["ids"].dataType.elementType.simpleString()
-    parts = ("ids", "held", "lengths", "words", "tails", "tokens")
+    parts = ("ids", "held", "lengths", "words", "tokens")
     first = chunks.withColumn("bucket", F.lit(-1))
     both = first.unionByName(answers, allowMissingColumns=True).select(
         "chunk", "bucket", *parts, "logs", "seen"
@@ -439,7 +537,7 @@ def _score(chunks: DataFrame, answers: DataFrame, buckets: int, settings: Settin
     def finish(row: dict, found: dict[int, tuple[bytes, bytes]]) -> dict:
         hashes, keys, cell, starts = _read_chunk(*(row[c] for c in parts[2:]))
         bucket = (hashes % np.uint64(buckets)).astype(np.int64)
-        of_cell = bucket[keys >> 16]
+        of_cell = bucket[keys >> 32]
         logs, seen = np.zeros(len(keys)), np.zeros(len(hashes))
         for number, (some_logs, some_seen) in found.items():
             logs[of_cell == number] = unpack(some_logs, np.float32)
@@ -479,8 +577,8 @@ def score_texts(docs: DataFrame, held_out: Column) -> DataFrame:
     """Log10 probability of every text under a model of the rows that are not held out.
 
     Tokens are runs of other characters than ASCII white space, with A-Z in lower
-    case, and one end per text. The last two bytes of a word are the context of
-    the next; each context is a restaurant whose dishes are words, and all share
+    case, and one end per text. The whole word before is the context of a token (by 48
+    bits of hash); each context is a restaurant whose dishes are words, and all share
     one root over the words, itself over equal chances for the V words seen in
     training and one for all others. The seating is sampled by blocked Gibbs
     sweeps: all customers of a word in a context are seated again, given the
@@ -488,9 +586,10 @@ def score_texts(docs: DataFrame, held_out: Column) -> DataFrame:
     `AVERAGED` of `SWEEPS` sweeps are averaged.
 
     Counts of all rows are kept: texts are numbered in chunks, the (context, word)
-    cells of a chunk are summed there and dealt out by word to buckets, and only
-    sums per context (at most 65,536) pass the driver. A frequent word is one cell
-    per chunk and context, so no bucket gets its tokens.
+    cells of a chunk are summed there and dealt out by word to buckets. After each
+    sweep the buckets' sums per context are dealt out by context, added up and sent
+    back; only sums at the root pass the driver. A frequent word is one cell per chunk
+    and context, and a frequent context one sum per bucket.
 
     Returns `doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`;
     `base_score` is that of add-one counts. Null and empty texts are one end.
@@ -501,14 +600,16 @@ def score_texts(docs: DataFrame, held_out: Column) -> DataFrame:
     chunks = stored(_chunks(rows), "lm-chunks")
     tokens = F.aggregate("lengths", F.lit(0).cast("long"), lambda total, n: total + n)
     size = chunks.select(tokens.alias("n")).agg(F.sum("n")).first()[0] or 0
-    # A little under half of a chunk's tokens are cells that it had not had yet.
-    buckets = max(1, round(0.45 * size / BUCKET_CELLS))
+    # About seven tenths of a chunk's tokens are cells that it had not had yet.
+    buckets = max(1, round(0.7 * size / BUCKET_CELLS))
     merged = stored(_merge(_requests(chunks, buckets)), "lm-buckets")
     settings = _settings(merged)
-    history = [_after(merged, settings, [])]
-    for _ in range(SWEEPS):
-        history.append(_after(merged, settings, history))
-    scored = _score(chunks, _answers(merged, settings, history), buckets, settings)
+    cells = merged.select("bucket", "words", "contexts", "keys", "counts")
+    sums, roots = chunks.sparkSession.createDataFrame([], SUMS), []
+    for _ in range(SWEEPS + 1):
+        found, root = _after(cells, sums, settings, roots, buckets)
+        sums, roots = sums.unionByName(found), [*roots, root]
+    scored = _score(chunks, _answers(merged, sums, settings, roots, buckets), buckets, settings)
     return scored.select(
         "doc_id",
         "held_out",
