@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -604,11 +604,14 @@ def score_texts(docs: DataFrame, held_out: Column) -> DataFrame:
     buckets = max(1, round(0.7 * size / BUCKET_CELLS))
     merged = stored(_merge(_requests(chunks, buckets)), "lm-buckets")
     settings = _settings(merged)
+    # Dealt out once for all sweeps; what is lost is made again from the stored buckets.
     cells = merged.select("bucket", "words", "contexts", "keys", "counts")
+    cells = cells.repartition(buckets, "bucket").persist(StorageLevel.DISK_ONLY)
     sums, roots = chunks.sparkSession.createDataFrame([], SUMS), []
     for _ in range(SWEEPS + 1):
         found, root = _after(cells, sums, settings, roots, buckets)
         sums, roots = sums.unionByName(found), [*roots, root]
+    cells.unpersist()
     scored = _score(chunks, _answers(merged, sums, settings, roots, buckets), buckets, settings)
     return scored.select(
         "doc_id",
