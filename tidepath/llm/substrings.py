@@ -6,6 +6,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,9 @@ from tidepath.llm.common import per_slice, stored, utf8
 LAST = 2**63 - 1
 EMPTY = hashlib.sha256(b"").hexdigest()
 MEMO_WORDS = 400_000
+# Words of more bytes are hashed one by one.
+LONG_WORD = 64
+LANE = np.array([2 ** (8 * size) - 1 for size in range(9)], np.uint64)
 
 
 class WordHashes(dict):
@@ -69,13 +73,62 @@ def levels_of(start: int, window: int) -> list[int]:
     return lengths
 
 
-def surviving(words: np.ndarray, window: int, passed: list[tuple[int, list[int]]]) -> np.ndarray:
-    """Starts of the windows whose keys of every length passed so far repeat."""
-    alive = np.ones(max(0, len(words) - window + 1), bool)
-    for n, keys in passed:
-        wanted = np.array(keys or [], np.int64).view(np.uint64)
-        alive &= np.isin(window_keys(words, n, window), wanted)
-    return np.flatnonzero(alive)
+def split_words(texts: pa.Array) -> pa.ListArray:
+    """The words of each text; a text without any, or null, is one empty word."""
+    return pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.fill_null(texts.cast(pa.string()), "")))
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, one after the other, and where each text begins.
+
+    The begins have one more entry, the end of the last text. A word is hashed in lanes
+    of 8 bytes, all words at once; of one lane, only words of different length can be equal.
+    """
+    lists = split_words(texts)
+    words = lists.values
+    _, ends, data = words.buffers()
+    ends = np.frombuffer(ends, np.int32, len(words) + 1).astype(np.int64)
+    data = (data.to_pybytes() if data else b"") + bytes(8)
+    lanes = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    start, size = ends[:-1], np.diff(ends)
+    odd = np.uint64(0x9E3779B97F4A7C15)
+    hashes = mix(size.astype(np.uint64) * odd ^ lanes[start] & LANE[np.minimum(size, 8)])
+    done, left = 8, np.flatnonzero((size > 8) & (size <= LONG_WORD))
+    while len(left):
+        lane = lanes[start[left] + done] & LANE[np.minimum(size[left] - done, 8)]
+        hashes[left] = mix(hashes[left] * odd + lane)
+        done += 8
+        left = left[size[left] > done]
+    for at in np.flatnonzero(size > LONG_WORD):
+        hashes[at] = xxhash.xxh3_64_intdigest(data[ends[at] : ends[at + 1]])
+    real = size > 0
+    begins = np.concatenate([[0], np.cumsum(real)])[lists.offsets.to_numpy()]
+    return begins, hashes[real]
+
+
+def windows_of(begins: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each window within one text the number of that text, and its place in it."""
+    many = np.maximum(np.diff(begins) - window + 1, 0)
+    text = np.repeat(np.arange(len(many)), many)
+    return text, np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
+
+
+def surviving(
+    begins: np.ndarray, words: np.ndarray, window: int, passed: list[tuple[int, pa.ListArray]]
+) -> tuple[np.ndarray, np.ndarray]:
+    """Those of `windows_of` whose keys of every length passed so far repeat."""
+    text, place = windows_of(begins, window)
+    for n, lists in passed:
+        found = window_keys(words, n, window)[begins[text] + place]
+        cuts = np.searchsorted(text, np.arange(len(begins)))
+        edges = lists.offsets.to_numpy()
+        wanted = lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
+        alive = np.zeros(len(text), bool)
+        for at in np.flatnonzero(np.diff(cuts)):
+            one = slice(cuts[at], cuts[at + 1])
+            alive[one] = np.isin(found[one], wanted[edges[at] : edges[at + 1]])
+        text, place = text[alive], place[alive]
+    return text, place
 
 
 def _identified(docs: DataFrame) -> DataFrame:
@@ -87,12 +140,14 @@ def _identified(docs: DataFrame) -> DataFrame:
 def _heads(rows: DataFrame) -> DataFrame:
     def work():
         def step(batch: pa.RecordBatch) -> dict:
-            words = [text.split() for text in utf8(batch, 2)]
+            words = split_words(batch.column(2))
+            joined = pc.binary_join(words, " ").cast(pa.binary()).to_pylist()
+            counts = pc.list_value_length(words).to_numpy()
             return {
                 "at": batch.column(0),
                 "fp": batch.column(1),
-                "n_words": [len(some) for some in words],
-                "digest": [hashlib.sha256(b" ".join(some)).hexdigest() for some in words],
+                "n_words": np.where([len(some) > 0 for some in joined], counts, 0),
+                "digest": [hashlib.sha256(some).hexdigest() for some in joined],
             }
 
         return step
@@ -106,25 +161,26 @@ def _keys(rows: DataFrame, n: int, window: int, passed: list[tuple[int, str]]) -
     columns = [rows.columns.index(name) for _, name in passed]
 
     def work():
-        memo = WordHashes()
-
         def step(batch: pa.RecordBatch) -> dict:
-            known = [batch.column(c).to_pylist() for c in columns]
-            found = []
-            for at, text in enumerate(utf8(batch, 2)):
-                words = memo.of(text.split())
-                keys = window_keys(words, n, window)
-                if lengths:
-                    keys = keys[surviving(words, window, [*zip(lengths, (k[at] for k in known))])]
-                fresh = np.ones(len(keys), bool)
-                fresh[1:] = keys[1:] != keys[:-1]
-                found.append(np.unique(keys[fresh]).view(np.int64))
-            return {"at": batch.column(0), "fp": batch.column(1), "keys": found}
+            begins, words = word_hashes(batch.column(2))
+            known = [(length, batch.column(c)) for length, c in zip(lengths, columns)]
+            text, place = surviving(begins, words, window, known)
+            keys = window_keys(words, n, window)[begins[text] + place]
+            fresh = np.ones(len(keys), bool)
+            fresh[1:] = (keys[1:] != keys[:-1]) | (text[1:] != text[:-1])
+            keys, text = keys[fresh], text[fresh]
+            cuts = np.searchsorted(text, np.arange(len(begins)))
+            found = [np.unique(keys[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
+            text = np.repeat(np.arange(len(found)), [len(some) for some in found])
+            return {
+                "at": batch.column(0).take(pa.array(text)),
+                "fp": batch.column(1).take(pa.array(text)),
+                "key": np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64),
+            }
 
         return step
 
-    made = per_slice(rows, "text", "at long, fp long, keys array<long>", work)
-    return made.select("at", "fp", F.explode("keys").alias("key"))
+    return per_slice(rows, "text", "at long, fp long, key long", work)
 
 
 def _repeated_keys(keys: DataFrame, name: str) -> DataFrame:
@@ -148,38 +204,23 @@ def _windows(rows: DataFrame, window: int, passed: list[tuple[int, str]]) -> Dat
     columns = [rows.columns.index(name) for _, name in passed]
 
     def work():
-        memo = WordHashes()
-
         def step(batch: pa.RecordBatch) -> dict:
-            known = [batch.column(c).to_pylist() for c in columns]
-            found = {name: [] for name in ("places", "firsts", "seconds")}
-            for at, text in enumerate(utf8(batch, 2)):
-                words = memo.of(text.split())
-                places = surviving(
-                    words, window, [(n, k[at]) for (n, _), k in zip(passed, known)]
-                )
-                second = gram_hashes(words, window, base=0xD6E8FEB86659FD93)[places]
-                found["places"].append(places.astype(np.int32))
-                found["firsts"].append(gram_hashes(words, window)[places].view(np.int64))
-                found["seconds"].append((second >> np.uint64(32)).astype(np.uint32).view(np.int32))
-            return {"row": batch.column(1), "at": batch.column(0), **found}
+            begins, words = word_hashes(batch.column(2))
+            known = [(n, batch.column(c)) for (n, _), c in zip(passed, columns)]
+            text, place = surviving(begins, words, window, known)
+            spots = begins[text] + place
+            second = gram_hashes(words, window, base=0xD6E8FEB86659FD93)[spots]
+            return {
+                "row": batch.column(1).take(pa.array(text)),
+                "at": batch.column(0).take(pa.array(text)),
+                "place": place.astype(np.int32),
+                "h1": gram_hashes(words, window)[spots].view(np.int64),
+                "h2": (second >> np.uint64(32)).astype(np.uint32).view(np.int32),
+            }
 
         return step
 
-    made = per_slice(
-        rows,
-        "text",
-        "row long, at long, places array<int>, firsts array<long>, seconds array<int>",
-        work,
-    )
-    zipped = F.arrays_zip("places", "firsts", "seconds")
-    return made.select("row", "at", F.explode(zipped).alias("w")).select(
-        "row",
-        "at",
-        F.col("w.places").alias("place"),
-        F.col("w.firsts").alias("h1"),
-        F.col("w.seconds").alias("h2"),
-    )
+    return per_slice(rows, "text", "row long, at long, place int, h1 long, h2 int", work)
 
 
 def _cut(rows: DataFrame, window: int) -> DataFrame:
@@ -235,7 +276,7 @@ def repeated_words(docs: DataFrame, window: int = 13, start: int = 7) -> tuple[D
     Tables without rows, or without repeats, give no cuts.
     """
     rows = _identified(docs)
-    heads = stored(_heads(rows), "repeats-heads")
+    heads = stored(_heads(rows), "repeats-heads", tidy=True)
     originals = (
         heads.where(F.col("n_words") >= window).groupBy("digest").agg(F.min("at").alias("first"))
     )
@@ -261,6 +302,7 @@ def repeated_words(docs: DataFrame, window: int = 13, start: int = 7) -> tuple[D
                 "row", F.monotonically_increasing_id()
             ),
             "repeats-texts",
+            tidy=True,
         )
 
     by_row = texts.select("at", "row", "text", *(name for _, name in passed))
