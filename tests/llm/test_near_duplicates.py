@@ -6,6 +6,7 @@ import random
 
 import pytest
 
+from tidepath.llm import ordered_minhash
 from tidepath.llm.ordered_minhash import aligned, keep_one_per_group, near_duplicates
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -115,3 +116,36 @@ def test_rows_that_share_an_id_and_odd_rows(spark):
     kept = keep_one_per_group(docs)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == [1, 1, 4, 5, 6]
+
+
+@pytest.mark.parametrize("most", [ordered_minhash.GROUP_BYTES, 3_000])
+def test_extras_of_one_text_are_not_dealt_out(spark, monkeypatch, most):
+    """Two texts share an inserted passage; all others have insertions of their own."""
+    monkeypatch.setattr(ordered_minhash, "GROUP_BYTES", most)
+    rng = random.Random(6)
+    fresh = lambda n: ["".join(rng.choices(LETTERS, k=6)) for _ in range(n)]
+    base, passage = fresh(60), fresh(8)
+    texts = [base, *(base[:30] + fresh(8) + base[30:] for _ in range(40))]
+    texts += [base[:at] + passage + base[at:] for at in (20, 40)]
+    docs = [(at, " ".join(words), 6 * len(words)) for at, words in enumerate(texts)]
+    pairs = [(0, at) for at in range(1, len(texts))]
+    found = ordered_minhash._differences(
+        spark.createDataFrame(docs, "at long, text string, size long"),
+        spark.createDataFrame(pairs, "lead long, other long"),
+    ).collect()
+    assert sorted(row["at"] for row in found) == [at for _, at in pairs]
+    assert {(row.n_lead, row.n, row.missing, row.n_extras) for row in found} == {(56, 64, 4, 12)}
+    extras = {row["at"]: set(row.extras) for row in found}
+    assert len(extras[41] & extras[42]) == 4
+    if most > 3_000:  # the lead's others are one group
+        assert extras[41] == extras[42] and not any(extras[at] for at in range(1, 41))
+    else:
+        assert all(len(some) == 12 for some in extras.values())
+
+
+def test_groups_of_hard_texts_in_many_groups(spark, monkeypatch):
+    monkeypatch.setattr(ordered_minhash, "GROUP_BYTES", 3_000)
+    texts = hard_texts(5)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {r.doc_id: r.group_id for r in near_duplicates(docs).collect()}
+    assert found == brute_force(texts)

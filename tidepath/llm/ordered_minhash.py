@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepath.llm.common import per_slice, stored, utf8
@@ -29,6 +29,8 @@ SAMPLE = 6
 SHORT = 16
 # A document with very many partners is compared in groups of about so many.
 PARTNERS = 500
+# Where a document's partners are compared with each other, in groups of about so many bytes.
+GROUP_BYTES = 8_000_000
 
 
 def shingles(text: bytes, memo: WordHashes, k: int = SHINGLE) -> np.ndarray:
@@ -133,28 +135,34 @@ def _sketched(rows: DataFrame) -> DataFrame:
     return per_slice(rows, "text", "at long, digest string, n_words long, sketch array<long>", work)
 
 
-def _beside_leads(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Rows `lead, part, turn, at, text`: the texts of a lead, then those of its others.
+def _beside_leads(
+    texts: DataFrame, pairs: DataFrame, load: Column | None = None, most: int = PARTNERS
+) -> DataFrame:
+    """Rows `lead, part, turn, at, text, parts`: the texts of a lead, then those of its others.
 
-    The others of a lead are sorted behind it in groups of bounded number; a task
-    keeps one lead's shingles at a time and reads the others one by one.
+    The others of a lead are sorted behind it in `parts` groups, each with a `load` (a
+    whole number, 1 by default) of about `most`; a task keeps one lead's shingles at a time and reads
+    the others one by one.
     """
-    counts = pairs.groupBy("lead").agg(F.count(F.lit(1)).alias("n"))
-    parts = F.ceil(F.col("n") / PARTNERS).cast("int")
+    parts = F.ceil(F.sum(F.lit(1) if load is None else load) / most).cast("int")
+    counts = pairs.groupBy("lead").agg(parts.alias("parts"))
     grouped = pairs.join(counts, "lead").select(
-        "lead", "other", F.pmod(F.xxhash64("other"), parts).cast("int").alias("part")
+        "lead", "other", F.pmod(F.xxhash64("other"), "parts").cast("int").alias("part"), "parts"
     )
     leads = counts.select(
         "lead",
         F.col("lead").alias("at"),
-        F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"),
+        F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
         F.lit(0).alias("turn"),
+        "parts",
+    )
+    others = grouped.select(
+        "lead", F.col("other").alias("at"), "part", F.lit(1).alias("turn"), "parts"
     )
-    others = grouped.select("lead", F.col("other").alias("at"), "part", F.lit(1).alias("turn"))
     return (
         leads.unionByName(others)
         .join(texts, "at")
-        .select("lead", "part", "turn", "at", "text")
+        .select("lead", "part", "turn", "at", "text", "parts")
         .repartition("lead", "part")
         .sortWithinPartitions("lead", "part", "turn", "text")
     )
@@ -184,37 +192,62 @@ def _verify(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     return _beside_leads(texts, pairs).mapInArrow(run, "a long, b long")
 
 
+def _held_twice(lists: list[np.ndarray]) -> list[np.ndarray]:
+    """The lists without what only one of them holds; none holds a value twice."""
+    flat = np.concatenate(lists)
+    _, which, often = np.unique(flat, return_inverse=True, return_counts=True)
+    kept = often[which] > 1
+    ends = np.cumsum([len(some) for some in lists])
+    return np.split(flat[kept], np.concatenate([[0], np.cumsum(kept)])[ends[:-1]])
+
+
 def _differences(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """How each `other` differs from its `lead`, by labelled shingles.
 
-    `lead, at, n_lead, n` (shingles of both), `missing` (the lead's that it lacks) and
-    `extras` (its own that the lead lacks). Of rows that share the lead's id the text
-    that sorts first stands for the lead.
+    `lead, at, n_lead, n` (shingles of both), `missing` (the lead's that it lacks),
+    `n_extras` (how many of its own the lead lacks) and `extras` (which of these others of
+    the lead may have too). Most extras are in one text only; where all others of a lead
+    are in one group, those are left out here and need not be counted. Of rows that share
+    the lead's id the text that sorts first stands for the lead.
     """
-    names = ["lead", "at", "n_lead", "n", "missing", "extras"]
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
+    names = ["lead", "at", "n_lead", "n", "missing", "n_extras", "extras"]
+    types = [*[pa.int64()] * 2, *[pa.int32()] * 4, pa.list_(pa.int64())]
+    sizes = texts.groupBy(F.col("at").alias("other")).agg(F.sum("size").alias("size"))
+
+    def rows_of(held: list[tuple], parts: int) -> list[tuple]:
+        lists = [extras for *_, extras in held]
+        if held and parts == 1:
+            lists = _held_twice(lists)
+        return [(*row[:-1], len(row[-1]), some.tolist()) for row, some in zip(held, lists)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
-        group, first = None, np.empty(0, np.int64)
+        group, first, held = (None, None, 1), np.empty(0, np.int64), []
+
+        def batch_of(found: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array([f[i] for f in found], kind) for i, kind in enumerate(types)],
+                names=names,
+            )
+
         for batch in batches:
             found = []
-            columns = (batch.column(c).to_pylist() for c in range(4))
-            for (lead, part, turn, at), text in zip(zip(*columns), utf8(batch, 4)):
+            columns = (batch.column(c).to_pylist() for c in (0, 1, 2, 3, 5))
+            for (lead, part, turn, at, parts), text in zip(zip(*columns), utf8(batch, 4)):
                 some = np.unique(label_occurrences(shingles(text, memo)).view(np.int64))
-                if group != (lead, part):
-                    group, first = (lead, part), some
+                if group != (lead, part, parts):
+                    found += rows_of(held, group[2])
+                    group, first, held = (lead, part, parts), some, []
                 if turn:
                     extras = np.setdiff1d(some, first, assume_unique=True)
                     missing = len(first) - (len(some) - len(extras))
-                    found.append((lead, at, len(first), len(some), missing, extras.tolist()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([f[i] for f in found], kind) for i, kind in enumerate(types)],
-                names=names,
-            )
+                    held.append((lead, at, len(first), len(some), missing, extras))
+            yield batch_of(found)
+        yield batch_of(rows_of(held, group[2]))
 
-    return _beside_leads(texts, pairs).mapInArrow(
-        run, "lead long, at long, n_lead int, n int, missing int, extras array<long>"
+    return _beside_leads(texts, pairs.join(sizes, "other"), F.col("size"), GROUP_BYTES).mapInArrow(
+        run,
+        "lead long, at long, n_lead int, n int, missing int, n_extras int, extras array<long>",
     )
 
 
@@ -252,7 +285,7 @@ def _strays(texts: DataFrame, pairs: DataFrame, groups: DataFrame) -> DataFrame:
     differ = stored(
         _differences(texts, named.select("lead", F.col("at").alias("other"))), "sketch-differences"
     )
-    rows = differ.join(named, ["lead", "at"]).withColumn("n_extras", F.size("extras"))
+    rows = differ.join(named, ["lead", "at"])
     outs = F.when(F.col("out"), share * F.col("n") + F.col("missing"))
     bounds = rows.groupBy("lead").agg(
         F.min("n").alias("n_least"), F.min(outs).alias("out_least")
@@ -381,7 +414,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .distinct(),
         "sketch-pairs",
     )
-    texts = stored(rows.join(meets.select("at"), "at"), "sketch-texts")
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
+    texts = stored(rows.join(meets.select("at"), "at").withColumn("size", size), "sketch-texts")
     links = copies.unionByName(stored(_verify(texts, pairs), "sketch-links"))
     groups = components(links)
     # What is left: bucket mates that the first comparisons did not bring together.
