@@ -11,6 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
+from corpus_pipeline import line_dedup
 from tidepath.llm import langid, ordered_minhash, vectors
 from tidepath.llm.components import components
 from tidepath.llm.contamination import find_benchmark, remove_contaminated
@@ -18,6 +19,7 @@ from tidepath.llm.language_model import pack, score_texts, seat, unpack
 from tidepath.llm.lines import dedup_lines
 from tidepath.llm.mixing import mix_sources, mixed_documents
 from tidepath.llm.ordered_minhash import aligned, keep_one_per_group, near_duplicates
+from tidepath.llm.queries import QUERIES
 from tidepath.llm.substrings import remove_repeats
 from tidepath.llm.tokens import count_tokens, load_lengths
 from tidepath.llm.toxicity import Scorer, remove_toxic, score_toxicity
@@ -255,6 +257,56 @@ def test_near_lines_against_brute_force(documents):
         assert found[i] == [(int(gone),)], line
 
 
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, one in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, other in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (one != other))
+    return row[-1]
+
+
+def test_near_lines_on_both_sides_of_the_shortest(documents):
+    long = "exactly twenty-four long"
+    docs = documents((1, long[1:]), (2, long), (3, f"other {long[6:]}"), (4, f"othr {long[6:]}"))
+    found = by_id(dedup_lines(docs).select("doc_id", "text"), "text")
+    # The longer line goes after the shorter one, which must be equal to go itself.
+    assert found == {1: [(long[1:],)], 2: [("",)], 3: [(f"other {long[6:]}",)], 4: [(f"othr {long[6:]}",)]}
+
+
+def test_near_lines_of_any_length_against_brute_force(spark, documents, tmp_path):
+    rng = random.Random(1)
+    lines = ["".join(rng.choices("abé🙂 7", k=rng.randint(1, 9))) for _ in range(150)]
+    lines = [line for line in lines if line.strip(" ")]
+    documents(*enumerate(lines)).write.parquet(f"{tmp_path}/documents.parquet")
+    found = by_id(QUERIES["op6_line_dedup"](spark, str(tmp_path)), "n_removed")
+    for i, line in enumerate(lines):
+        gone = any(distance(line, other) <= 1 for other in lines[:i])
+        assert found[i] == [(int(gone),)], line
+
+
+def test_queries_compare_lines_of_any_length(spark, documents, tmp_path):
+    docs = documents(
+        (1, "A1\nshort\n\nline 139993"),
+        (2, "A2\nshorx\n\nline 139995\nkept"),
+        (3, "shirx\n \nkeep it\nkept"),
+        (None, "kep\nshorter line, 23 chars"),
+        (7, "shorter line of 23 chars\nshorter line, 23 chars!"),
+        (8, None),
+        (8, ""),
+    )
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    left = {1: "A1\nshort\n\nline 139993", 2: "\nkept", 3: " \nkeep it", None: "", 7: "shorter line of 23 chars\nshorter line, 23 chars!"}
+    found = by_id(QUERIES["op6_line_dedup"](spark, str(tmp_path)), "n_lines", "n_removed", "kept_sha256")
+    lines = {1: (4, 0), 2: (5, 3), 3: (4, 2), None: (2, 2), 7: (2, 0)}
+    for key, text in left.items():
+        assert found[key] == [(*lines[key], hashlib.sha256(text.encode()).hexdigest())]
+    assert found[8] == [(0, 0, hashlib.sha256(b"").hexdigest())] * 2
+    staged = by_id(line_dedup(spark, docs, str(tmp_path)).select("doc_id", "text"), "text")
+    assert {key: value for key, value in staged.items() if key != 8} == {k: [(t,)] for k, t in left.items()}
+    assert sorted(staged[8], key=str) == [("",), (None,)]
+
+
 def test_toxic_clauses(documents, spark):
     scorer = Scorer({"idiot$": 3.0, "lowe": 2.0})
     plain = scorer.features("the idiot here")
